@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, decontaminate, license_scan, media
-from weftline.llm.common import table
+from weftline.llm import bpe, decontaminate, license_scan, media, quality, simhash, token_rollup
+from weftline.llm.common import checkpoint, new_folder, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -22,11 +27,32 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load, a second tokenizer version, the deletion of exact copies, a revision (the first version now counts an end), and a load that comes twice."""
+    counts = checkpoint(token_rollup.word_counts(table(spark, sf_dir, "documents")))
+    first = counts.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    marked = checkpoint(counts.join(first, "digest").withColumn("copy", F.col("doc_id") > F.col("first_id")))
+    one, two = F.col("words_v1"), F.col("words_v2")
+    rollup = token_rollup.TokenRollup(spark, new_folder(spark, "token-counts"))
+    rollup.commit("load", token_rollup.changes(marked, "insert", "words-v1", one))
+    rollup.commit("second-version", token_rollup.changes(marked, "insert", "words-v2", two))
+    copies = marked.where("copy")
+    rollup.commit("deletions", token_rollup.changes(copies, "delete", "words-v1", one).unionByName(token_rollup.changes(copies, "delete", "words-v2", two)))
+    rollup.commit("revision", token_rollup.changes(marked.where("not copy"), "revise", "words-v1", one + 1, one))
+    rollup.commit("load", token_rollup.changes(marked, "insert", "words-v1", one))
+    return rollup.totals()
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontaminate.benchmark_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return got.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.grade_texts(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = license_scan.license_scan(table(spark, sf_dir, "documents"))
     joined = {k: F.array_join(k, ",").alias(k) for k in ("base_labels", "labels")}
@@ -34,10 +60,23 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
     "op3_bpe": op3_bpe,
     "op4_media": op4_media,
+    "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
+    "op8_quality": op8_quality,
     "op9_licenses": op9_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_token_counts": r"""
+        WITH kept AS (
+            SELECT source, lang, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS one,
+                   len(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS two
+            FROM (SELECT *, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents)
+            WHERE doc_id = first_id)
+        SELECT source, lang, 'words-v1' AS tokenizer, count(*) AS n_docs, CAST(sum(one + 1) AS BIGINT) AS n_tokens FROM kept GROUP BY ALL
+        UNION ALL
+        SELECT source, lang, 'words-v2' AS tokenizer, count(*) AS n_docs, CAST(sum(two) AS BIGINT) AS n_tokens FROM kept GROUP BY ALL""",
+}
