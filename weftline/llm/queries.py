@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, decontaminate, license_scan, media, quality, simhash, token_rollup
+from weftline.llm import bpe, decontaminate, license_scan, line_dedup, media, quality, simhash, token_rollup
 from weftline.llm.common import checkpoint, new_folder, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -27,6 +27,12 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each line that isn't blank."""
+    got = line_dedup.line_components(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "line_no", F.col("first_id").alias("first_doc_id"), "first_line", "kept")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A load, a second tokenizer version, the deletion of exact copies, a revision (the first version now counts an end), and a load that comes twice."""
     counts = checkpoint(token_rollup.word_counts(table(spark, sf_dir, "documents")))
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_bpe": op3_bpe,
     "op4_media": op4_media,
+    "op5_line_dedup": op5_line_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
