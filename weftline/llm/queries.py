@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, decontaminate, license_scan, line_dedup, media, quality, simhash, token_rollup
+from weftline.llm import bpe, decontaminate, license_scan, line_dedup, media, quality, simhash, suffix_dedup, token_rollup
 from weftline.llm.common import checkpoint, new_folder, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -65,6 +65,10 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined["base_labels"], joined["labels"], "score", F.size("detections").cast("bigint").alias("n_detections"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_strings(table(spark, sf_dir, "documents"), digests=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_bpe": op3_bpe,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
     "op9_licenses": op9_licenses,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
