@@ -8,12 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, decontaminate, license_scan, line_dedup, media, quality, simhash, suffix_dedup, token_rollup
+from weftline.llm import bpe, decontaminate, license_scan, line_dedup, media, ngram_lm, quality, simhash, suffix_dedup, token_rollup
 from weftline.llm.common import checkpoint, new_folder, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    model = ngram_lm.train(docs.where(~held_out))
+    got = ngram_lm.score_texts(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
+    return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -70,6 +78,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
     "op2_simhash": op2_simhash,
     "op3_bpe": op3_bpe,
     "op4_media": op4_media,
