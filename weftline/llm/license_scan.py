@@ -49,7 +49,7 @@ class Detection:
 FAMILIES: tuple[tuple[str, tuple[str, ...], str, str, str | None, str | None], ...] = (
     ("mit", ("MIT", "MIT-0", "X11", "MIT-CMU"), r"(?:mit|x11|expat) licen[cs]e", "licen", r"permission is hereby granted,? free of charge,? to any person obtaining a copy", r"opensource\.org/licenses/mit"),
     ("apache", ("Apache-2.0", "Apache-1.1", "Apache-1.0"), r"apache (?:software )?licen[cs]e", "apache", r"licensed under the apache licen[cs]e,? version \d(?:\.\d)?", r"apache\.org/licenses"),
-    ("gpl", ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-1.0-only"), r"(?<!lesser )(?<!affero )general public licen[cs]e", "general public", r"under the terms of the gnu general public licen[cs]e", r"gnu\.org/licenses/(?:old-licenses/)?gpl"),
+    ("gpl", ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-1.0-only"), r"(?<!lesser\s)(?<!affero\s)general public licen[cs]e", "general public", r"under the terms of the gnu general public licen[cs]e", r"gnu\.org/licenses/(?:old-licenses/)?gpl"),
     ("lgpl", ("LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "LGPL-2.0-only"), r"(?:lesser|library) general public licen[cs]e", "general public", r"under the terms of the gnu (?:lesser|library) general public licen[cs]e", r"gnu\.org/licenses/(?:old-licenses/)?lgpl"),
     ("agpl", ("AGPL-3.0-only", "AGPL-3.0-or-later", "AGPL-1.0-only"), r"affero general public licen[cs]e", "affero", r"under the terms of the gnu affero general public licen[cs]e", r"gnu\.org/licenses/agpl"),
     ("bsd-3-clause", ("BSD-3-Clause", "BSD-3-Clause-Clear", "BSD-3-Clause-LBNL"), r"(?:new|modified|3[- ]clause) bsd licen[cs]e", "bsd", r"neither the name of .{1,80}? nor the names of its contributors", r"opensource\.org/licenses/bsd-3-clause"),
@@ -128,7 +128,7 @@ def grant_key(pattern: str) -> str:
 @lru_cache(maxsize=1)
 def _compiled() -> tuple[ahocorasick.Automaton, list[tuple[Rule, re.Pattern]], dict[str, list[int]]]:
     by_key: dict[str, list[int]] = {}
-    made = [(r, re.compile(r.pattern)) for r in rules()]
+    made = [(r, re.compile(r.pattern.replace(" ", r"\s+"))) for r in rules()]  # a blank of a rule is any white space
     for i, (r, _) in enumerate(made):
         for key in r.keyword.split("|"):
             by_key.setdefault(key, []).append(i)
@@ -143,7 +143,7 @@ def detect(lowered: str) -> list[Detection]:
     """Detections that stand, by place. lowered: the text with A-Z in lower case."""
     auto, made, by_key = _compiled()
     found: list[Detection] = []
-    for i in {i for k in {k for _, k in auto.iter(lowered)} for i in by_key[k]}:
+    for i in {i for k in {k for _, k in auto.iter(" ".join(lowered.split()))} for i in by_key[k]}:
         r, rx = made[i]
         found += [Detection(m.start(), m.end(), r.label, r.priority, r.weight) for m in rx.finditer(lowered) if m.end() > m.start()]
     return suppress(found)
