@@ -46,6 +46,14 @@ def test_against_brute_force(spark, monkeypatch, crowd, piece):
     assert got == brute(docs, 100)
 
 
+def test_repeats_inside_one_text(spark):
+    rng = random.Random(8)
+    line = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    docs = [(0, line(50) * 5), (1, line(99) * 3 + line(40)), (2, line(7) * 60), (3, "z" * 900), (4, line(130) + line(300)), (5, (x := line(160)) + line(90) + x)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.dedup_strings(spark.createDataFrame(docs, "doc_id bigint, text string"), digests=True).collect()}
+    assert got == brute(docs, 100) and all(got[i][1] > 0 for i in (0, 1, 2, 3, 5))
+
+
 def test_cases(docs, none):
     got = S.dedup_strings(docs)
     assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"] and got.count() == 8

@@ -1,4 +1,4 @@
-"""The queries of this folder's operators, over whole tables, and DuckDB SQL for those that it can express."""
+"""The queries of this folder's operators, over whole tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, decontaminate, license_scan, line_dedup, media, ngram_lm, quality, simhash, suffix_dedup, token_rollup
+from weftline.llm import bpe, decontaminate, license_scan, line_dedup, media, ngram_lm, oracle, quality, simhash, suffix_dedup, token_rollup
 from weftline.llm.common import checkpoint, new_folder, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -90,14 +90,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {
-    "op6_token_counts": r"""
-        WITH kept AS (
-            SELECT source, lang, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS one,
-                   len(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS two
-            FROM (SELECT *, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents)
-            WHERE doc_id = first_id)
-        SELECT source, lang, 'words-v1' AS tokenizer, count(*) AS n_docs, CAST(sum(one + 1) AS BIGINT) AS n_tokens FROM kept GROUP BY ALL
-        UNION ALL
-        SELECT source, lang, 'words-v2' AS tokenizer, count(*) AS n_docs, CAST(sum(two) AS BIGINT) AS n_tokens FROM kept GROUP BY ALL""",
-}
+ORACLE_SQL = oracle.SQL

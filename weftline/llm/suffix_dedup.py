@@ -66,7 +66,7 @@ def window_min(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """key, start and number of starts of each stretch, in one batch of texts. No stretch crosses texts. Long batches are gone through in pieces."""
+    """key, start and number of starts of each stretch: the starts whose least piece, the first of equals, is one and the same. No stretch crosses texts. Long batches are gone through in pieces."""
     if len(data) > PIECE + length:
         parts = []
         for at in range(0, len(data), PIECE):
@@ -74,12 +74,14 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
             key, start, n = stretches(data[at:end], np.clip(offsets, at, end) - at, length, gram)
             parts.append((key, start + at, n))
         return tuple(np.concatenate(x) for x in zip(*parts))
-    keys = window_min(rolling(data, gram), length - gram + 1)
+    grams = rolling(data, gram)
+    keys = window_min(grams, length - gram + 1)
     none = np.zeros(0, np.int64)
     if not len(keys):
         return np.zeros(0, np.uint64), none, none
     new = np.ones(len(keys) + 1, bool)
-    new[1:-1] = keys[1:] != keys[:-1]
+    # a stretch also ends where its piece of least hash drops out: what repeats inside a text is in several stretches
+    new[1:-1] = (keys[1:] != keys[:-1]) | (grams[: len(keys) - 1] == keys[:-1])
     begin, end = offsets[:-1], np.maximum(offsets[1:] - length + 1, offsets[:-1])
     valid = np.zeros(len(keys) + 1, np.int64)
     np.add.at(valid, np.minimum(begin, len(keys)), 1)
