@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
@@ -74,11 +75,34 @@ def map_texts(df: DataFrame, fn: Callable[[list[bytes]], dict], schema: str, key
             for part in slices(batch):
                 got = fn(part.column("__text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *(v if isinstance(v, pa.Array) else pa.array(v) for v in got.values())], [*names, *got])
+            give_back()
 
     return given.mapInArrow(run, out)
 
 
-def slices(batch: pa.RecordBatch, most: int = 8 << 20, column: str = "__text") -> Iterator[pa.RecordBatch]:
+def filter_texts(df: DataFrame, keep: Callable[[list[bytes]], np.ndarray], text: str = "text") -> DataFrame:
+    """The rows of df whose texts keep marks, with all columns. Null is an empty text. Works batch by batch, without a shuffle."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, column=at):
+                yield part.filter(pa.array(keep([(x or "").encode() for x in part.column(at).to_pylist()]), pa.bool_()))
+            give_back()
+
+    return df.mapInArrow(run, df.schema)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, so that several workers of one executor don't each keep their largest need."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another libc
+        pass
+
+
+def slices(batch: pa.RecordBatch, most: int = 2 << 20, column: str | int = "__text") -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about most bytes of text each, a row at least."""
     if batch.num_rows == 0:
         return

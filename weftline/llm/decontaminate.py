@@ -6,7 +6,6 @@ shift table over blocks of two words, and buckets by the last block, in which di
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -15,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import ALNUM, map_texts, raw
+from weftline.llm.common import ALNUM, filter_texts, map_texts, raw
 
 #: Words of a window.
 WINDOW = 13
 #: Bytes of benchmark text in one block of patterns; more text makes more blocks, never a larger one.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def words(text: bytes) -> list[bytes]:
@@ -119,12 +118,23 @@ def benchmark_overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     an empty benchmark hits nothing; items of fewer words than the window are one window; items without words never occur;
     repeated documents each get their row. An item's null id counts as the empty string.
     """
+    marked = _marker(benchmark, window, min_share, item_col, item_text, block_bytes)
+    kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "item_ids": pa.list_(pa.string()), "contaminated": pa.bool_()}
+
+    def run(texts: list[bytes]) -> dict:
+        return {n: pa.array(c, k) for (n, k), c in zip(kinds.items(), zip(*marked(texts)))}
+
+    return map_texts(docs, run, "n_words bigint, n_hit bigint, item_ids array<string>, contaminated boolean", {id_col: F.col(f"`{id_col}`")}, text_col)
+
+
+def _marker(benchmark: DataFrame, window: int, min_share: float, item_col: str, item_text: str, block_bytes: int):
+    """A function from texts to (words, words hit, items, whether contaminated) of each."""
     blocks = pattern_blocks(benchmark, item_col, item_text, block_bytes)
     parts = round(1 / min_share)
     if abs(parts * min_share - 1) > 1e-9:
         raise ValueError("min_share must be one over a whole number")
 
-    def run(texts: list[bytes]) -> dict:
+    def marked(texts: list[bytes]) -> list[tuple]:
         seen = [words(x) for x in texts]
         marks: list[np.ndarray | None] = [None] * len(seen)
         items: list[set] = [set() for _ in seen]
@@ -136,35 +146,12 @@ def benchmark_overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
                     items[k] |= got
                     marks[k] = m if marks[k] is None else marks[k] | m
         n_hit = [0 if m is None else int(m.sum()) for m in marks]
-        return {
-            "n_words": pa.array(map(len, seen), pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "item_ids": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-            "contaminated": pa.array([h > 0 and parts * h >= len(w) for h, w in zip(n_hit, seen)], pa.bool_()),
-        }
+        return [(len(w), h, sorted(i), h > 0 and parts * h >= len(w)) for w, h, i in zip(seen, n_hit, items)]
 
-    return map_texts(docs, run, "n_words bigint, n_hit bigint, item_ids array<string>, contaminated boolean", {id_col: F.col(f"`{id_col}`")}, text_col)
+    return marked
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = 0.05, text_col: str = "text") -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = 0.05, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that benchmark_overlap calls clean, with all their columns."""
-    blocks = pattern_blocks(benchmark, "item_id", "text")
-    parts = round(1 / min_share)
-    schema = docs.schema
-
-    def run(batches):
-        for b in batches:
-            texts = [(x or "").encode() for x in b.column(schema.names.index(text_col)).to_pylist()]
-            marks = [np.zeros(0, bool)] * len(texts)
-            seen = [words(x) for x in texts]
-            for block in blocks:
-                found = _matchers(block, window)
-                for k, w in enumerate(seen):
-                    m, got = hits(found, w)
-                    if got:
-                        marks[k] = marks[k] | m if len(marks[k]) else m
-            yield b.filter(pa.array([not (m.any() and parts * int(m.sum()) >= len(w)) for m, w in zip(marks, seen)], pa.bool_()))
-
-    return docs.mapInArrow(run, schema)
-
-
-def item_digest(ids: Iterable[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+    marked = _marker(benchmark, window, min_share, item_col, item_text, BLOCK_BYTES)
+    return filter_texts(docs, lambda texts: np.array([not bad for *_, bad in marked(texts)], bool), text_col)

@@ -249,7 +249,7 @@ def train(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> Model:
 
     def words(batches):
         for b in batches:
-            for part in slices(b):
+            for part in slices(b, 8 << 20):
                 toks, _ = tokens(*buffers(part.column("__text")))
                 w, c = np.unique(toks, return_counts=True)
                 yield shipped(1, bits, [], w, np.zeros(len(w), np.int64), c)
@@ -284,7 +284,7 @@ def score_texts(docs: DataFrame, model: Model, keys: dict[str, Column], text_col
 
     def run(batches):
         for b in batches:
-            for part in slices(b):
+            for part in slices(b, 8 << 20):
                 toks, n = tokens(*buffers(part.column("__text")))
                 p, c = model.probabilities(toks, n)
                 at = np.cumsum(n) - n

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import _LOWER_NP, buffers, hash_spans, map_texts, mix, raw, runs, slices
+from weftline.llm.common import _LOWER_NP, buffers, filter_texts, give_back, hash_spans, map_texts, mix, raw, runs, slices
 
 #: Buckets of hashed features, as a power of two; dense features stand after them.
 BITS = 20
@@ -138,6 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column | None = None, n_grade
                 indptr, idx, dense = features(*buffers(part.column("__text")), bits)
                 lists = pa.ListArray.from_arrays(pa.array(indptr.astype(np.int32)), pa.array(idx.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("grade"), lists, pa.array(list(dense), pa.list_(pa.float64()))], ["id", "grade", "idx", "dense"])
+            give_back()
 
     kind = rated.schema["id"].dataType.simpleString()
     got = texts.select("id", "grade", "__text").mapInArrow(run, f"id {kind}, grade int, idx array<int>, dense array<double>").toArrow().sort_by([("id", "ascending")])
@@ -172,13 +173,5 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def select_good(docs: DataFrame, model: Ordinal, keep: float = KEEP, text_col: str = "text") -> DataFrame:
     """The rows, all columns, whose probability of the best grade is at least keep."""
-    get, at = _held(model, docs.sparkSession), docs.columns.index(text_col)
-
-    def run(batches):
-        for b in batches:
-            m = get()
-            texts = [(x or "").encode() for x in b.column(at).to_pylist()]
-            if texts:
-                yield b.filter(pa.array(m.tails(m.score(*joined(texts)))[:, -1] >= keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    get = _held(model, docs.sparkSession)
+    return filter_texts(docs, lambda texts: get().tails(get().score(*joined(texts)))[:, -1] >= keep, text_col)
