@@ -28,7 +28,7 @@ def test_order_and_gradient():
     tails = model.tails(total)
     assert (tails[:, 0] >= tails[:, 1]).all() and (tails.sum(1).round() == grade).mean() > 0.9
     with pytest.raises(ValueError):
-        Q.fit_ordinal(np.zeros(1, int), np.zeros(0, int), np.zeros((0, 1)), np.zeros(0, int), 3)
+        Q.fit_ordinal(np.zeros(1, int), np.zeros(0, int), np.zeros((0, 1)), np.zeros(0, int), 1)
 
 
 def test_cases(spark, docs, none):
@@ -38,3 +38,7 @@ def test_cases(spark, docs, none):
     assert got.count() == 8 and got.where("tail_probability BETWEEN 0 AND 1 AND expected_grade BETWEEN 0 AND 2").count() == 8
     assert Q.select_good(docs, model, 0.0).count() == 8 and Q.select_good(docs, model, 1.1).count() == 0 and Q.select_good(none, model).columns == docs.columns
     assert Q.grade_texts(none, model).count() == 0
+    unrated = Q.fit(docs, labels.limit(0))
+    assert Q.select_good(docs, unrated).count() == 8
+    one_grade = Q.fit(docs, labels.where("doc_id = 1"))
+    assert Q.grade_texts(docs, one_grade).count() == 8

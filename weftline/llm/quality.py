@@ -75,10 +75,12 @@ class Ordinal:
 
 
 def fit_ordinal(indptr: np.ndarray, idx: np.ndarray, dense: np.ndarray, grade: np.ndarray, n_grades: int, bits: int = BITS, rounds: int = 250, l2: float = 1e-5, rate: float = 0.1, min_docs: int = MIN_DOCS, min_z: float = MIN_Z) -> Ordinal:
-    """Weights and thresholds by Adam on the whole sample; the same input gives the same model. Needs two grades at least."""
+    """Weights and thresholds by Adam on the whole sample; the same input gives the same model. Without ratings every text is taken for the best grade."""
     n = len(grade)
-    if n == 0 or n_grades < 2:
-        raise ValueError("no ratings to fit on")
+    if n_grades < 2:
+        raise ValueError("two grades are needed at least")
+    if n == 0:
+        return Ordinal(np.zeros(1 << bits, np.float32), np.zeros(DENSE), np.arange(n_grades - 1) - 40.0, bits)
     row = np.repeat(np.arange(n), np.diff(indptr))
     count = np.bincount(idx, minlength=1 << bits)
     apart = np.abs(np.bincount(idx, (grade - grade.mean())[row], 1 << bits)) / (grade.std() + 1e-12)
@@ -146,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column | None = None, n_grade
     idx, dense = col("idx"), col("dense")
     n = len(idx)
     indptr = np.concatenate([[0], np.cumsum(np.asarray(idx.value_lengths(), np.int64))]).astype(np.int64) if n else np.zeros(1, np.int64)
-    return fit_ordinal(indptr, np.asarray(idx.flatten(), np.int64), np.asarray(dense.flatten()).reshape(n, -1), np.asarray(col("grade"), np.int64), n_grades, bits)
+    return fit_ordinal(indptr, np.asarray(idx.flatten(), np.int64), np.asarray(dense.flatten()).reshape(n, DENSE), np.asarray(col("grade"), np.int64), n_grades, bits)
 
 
 def _held(model: Ordinal, spark) -> Callable[[], Ordinal]:
