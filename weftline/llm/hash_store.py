@@ -19,10 +19,6 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that a shard should have at most, by which the number of shards is chosen.
-SHARD_ROWS = 1 << 20
-
-
 def _local(uri: str) -> str | None:
     u = urlparse(uri)
     return unquote(u.path) if u.scheme in ("", "file") else None
@@ -44,12 +40,22 @@ def put(uri: str, data: bytes | memoryview) -> None:
     store.move(f"{path}.{spare[-32:]}", path)
 
 
-@lru_cache(maxsize=4096)
+#: Files that a worker has mapped at once; each may hold a descriptor.
+MAPPED = 256
+
+
+def _map(f, kind: str) -> np.ndarray:
+    size = os.fstat(f.fileno()).st_size
+    return np.frombuffer(mmap.mmap(f.fileno(), size, prot=mmap.PROT_READ), kind) if size else np.zeros(0, kind)
+
+
+@lru_cache(maxsize=MAPPED)
 def mapped(uri: str, kind: str) -> np.ndarray:
     """A file as an array, mapped into memory; a file that isn't there is empty. What isn't on a mounted file system is fetched to a nameless local file first."""
     if path := _local(uri):
         try:
-            return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+            with open(path, "rb") as f:
+                return _map(f, kind)
         except FileNotFoundError:
             return np.zeros(0, kind)
     store, path = fs.FileSystem.from_uri(uri)
@@ -59,12 +65,7 @@ def mapped(uri: str, kind: str) -> np.ndarray:
         while block := source.read(1 << 22):
             f.write(block)
         f.flush()
-        size = f.tell()
-        return np.frombuffer(mmap.mmap(f.fileno(), size, prot=mmap.PROT_READ), kind) if size else np.zeros(0, kind)
-
-
-def shard_bits(rows: int, least: int = 0) -> int:
-    return max(least, (max(1, rows) // SHARD_ROWS).bit_length())
+        return _map(f, kind)
 
 
 def write(rows: DataFrame, folder: str, bits: int, values: dict[str, str]) -> int:
