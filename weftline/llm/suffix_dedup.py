@@ -96,7 +96,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     cuts = -(-n // STRETCH)
     more = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
     start, n = np.repeat(start, cuts) + more * STRETCH, np.minimum(np.repeat(n, cuts) - more * STRETCH, STRETCH)
-    return keys[start], start, n
+    return mix(keys[start]), start, n  # least hashes are small; keys spread
 
 
 def repeated_starts(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -148,7 +148,7 @@ def _input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _texts(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    for part in slices(b):
+    for part in slices(b, 4 << 20):  # what repeats inside a slice isn't shuffled
         yield np.asarray(part.column("id")), part.column("__text").to_pylist()
 
 
