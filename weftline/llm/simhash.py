@@ -147,7 +147,8 @@ def _balls(full: DataFrame, max_bits: int) -> DataFrame:
     for _ in range(max_bits // 2):
         short = flip(short)
     long = flip(short) if max_bits % 2 else short
-    low = short.groupBy("at").agg(F.min("fp").alias("m"))
+    # the planner doesn't see how many rows explode makes, and would broadcast them
+    low = short.groupBy("at").agg(F.min("fp").alias("m")).hint("merge")
     return long.join(low, "at").where("fp <> m").select(F.col("fp").alias("src"), F.col("m").alias("dst")).distinct()
 
 
