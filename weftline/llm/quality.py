@@ -22,11 +22,11 @@ DENSE = 6
 #: Rated documents in which a bucket must stand to have a weight; rarer ones would only learn the documents by heart.
 MIN_DOCS = 8
 #: Standard errors by which the mean grade of a bucket's documents must differ from the mean of all.
-MIN_Z = 4.5
+MIN_Z = 5.5
 #: Ratings that the model is fitted on at most, those of the smallest hashes of their ids; this bounds the driver's work.
 SAMPLE = 16_000
 #: Documents whose probability of the best grade is at least this stay.
-KEEP = 0.6
+KEEP = 0.75
 
 _b = np.arange(256)
 _KIND = np.where(np.isin(_b, [32, *range(9, 14)]), 0, np.where((_b >= 128) | ((_b | 32) >= 97) & ((_b | 32) <= 122), 1, np.where((_b >= 48) & (_b <= 57), 2, _b))).astype(np.uint8)
@@ -74,7 +74,7 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
 
 
-def fit_ordinal(indptr: np.ndarray, idx: np.ndarray, dense: np.ndarray, grade: np.ndarray, n_grades: int, bits: int = BITS, rounds: int = 250, l2: float = 1e-5, rate: float = 0.1, min_docs: int = MIN_DOCS, min_z: float = MIN_Z) -> Ordinal:
+def fit_ordinal(indptr: np.ndarray, idx: np.ndarray, dense: np.ndarray, grade: np.ndarray, n_grades: int, bits: int = BITS, rounds: int = 800, l2: float = 1e-5, rate: float = 0.1, min_docs: int = MIN_DOCS, min_z: float = MIN_Z) -> Ordinal:
     """Weights and thresholds by Adam on the whole sample; the same input gives the same model. Without ratings every text is taken for the best grade."""
     n = len(grade)
     if n_grades < 2:
