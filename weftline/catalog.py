@@ -141,7 +141,7 @@ BY_NAME: dict[str, Callable] = {
 
 #: Operators that have nothing to do here.
 NOT_HERE: dict[str, str] = {
-    "clipboard->dataset": "a cluster has no clipboard", "dataset->clipboard": "a cluster has no clipboard", "neanderthal-enabled?": "no native library to look for", "dataset?": "isinstance(x, DataFrame)", "is-column?": "isinstance(x, Column)", "clone": "columns don't change",
+    "clipboard->dataset": "a cluster has no clipboard", "dataset->clipboard": "a cluster has no clipboard", "dataset?": "isinstance(x, DataFrame)", "is-column?": "isinstance(x, Column)", "clone": "columns don't change",
     "print-range": "arguments of dataset_to_str", "print-policy": "arguments of dataset_to_str", "print-width": "arguments of dataset_to_str", "print-types": "arguments of dataset_to_str", ":edn": "JSON lines instead", "compress-column": "the columnar cache and Parquet encode columns", "compress-column-buffer": "the columnar cache and Parquet encode columns",
     "ensure-column-string-table": "Parquet keeps dictionaries", "ensure-dataset-string-tables": "Parquet keeps dictionaries", "make-string-table": "Parquet keeps dictionaries", "->string-table": "Parquet keeps dictionaries", "merge-string-tables": "Parquet keeps dictionaries",
     "->sparse-ds": "nulls take a bit each", "->scol": "nulls take a bit each", "scol->reader": "nulls take a bit each", "sparse-rows": "nulls take a bit each", "is-sparse?": "nulls take a bit each", "dynamic-int-list": "types are fixed by the schema", "file-backed-text": "shuffles and caches spill",
