@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import checkpoint
+from weftline.llm.common import shared_folder
+
+#: Links that one task writes, about: links are few beside what they come from, and small files cost more than they hold.
+TASK_LINKS = 200_000
+
+
+def _cut(e: DataFrame, links: int) -> DataFrame:
+    """The links without their lineage, in the shared folder."""
+    shared_folder(e.sparkSession)
+    return e.coalesce(1 + links // TASK_LINKS).checkpoint(eager=True)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -15,7 +24,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     between a node and its component's smallest; a round's links are cut from their lineage in the shared folder.
     """
     e = edges.where("src is not null and dst is not null").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
-    e = checkpoint(e)
+    shared_folder(e.sparkSession)
+    e = e.checkpoint(eager=True)
     seen = _state(e)
     for _ in range(rounds):
         if not seen[0]:
@@ -25,7 +35,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("u"), F.col("m").alias("v"))
-        e = checkpoint(small.unionByName(low.select(F.col("a").alias("u"), F.col("m").alias("v"))).distinct())
+        e = _cut(small.unionByName(low.select(F.col("a").alias("u"), F.col("m").alias("v"))).distinct(), seen[0])
         now = _state(e)
         if now == seen:
             break
