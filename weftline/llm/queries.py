@@ -37,7 +37,7 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each line that isn't blank."""
-    got = line_dedup.line_components(table(spark, sf_dir, "documents"))
+    got = line_dedup.line_components(table(spark, sf_dir, "documents"), every=True)
     return got.select("doc_id", "line_no", F.col("first_id").alias("first_doc_id"), "first_line", "kept")
 
 
