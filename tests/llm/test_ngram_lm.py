@@ -70,3 +70,9 @@ def test_cases(docs, none):
     empty = L.train(none)
     assert empty.n_tokens == 0 and L.score_texts(none, empty, {"doc_id": F.col("doc_id")}).count() == 0
     assert all(r.score <= 0 and r.n_known == 0 for r in L.score_texts(docs, empty, {"doc_id": F.col("doc_id")}).collect())
+
+
+def test_the_query_looks_two_words_back(spark):
+    model = L.train(spark.createDataFrame([(x,) for x in ["a x b", "c x d"] * 5], "text string"))
+    got = {r.t: r.score for r in L.score_texts(spark.createDataFrame([("a x b",), ("a x d",)], "text string"), model, {"t": F.col("text")}).collect()}
+    assert model.order >= 3 and got["a x b"] > got["a x d"] + 0.1

@@ -21,7 +21,7 @@ from weftline.llm.common import buffers, checkpoint, mix, new_folder, raw, slice
 from weftline.llm.hash_store import mapped, put
 
 #: Words of an n-gram.
-ORDER = 2
+ORDER = 3
 BOS, END, EMPTY = np.uint64(0x5C3D91F0A7B24E61), np.uint64(0xE19A40C2D8673BF5), np.uint64(0x1F83D9ABFB41BD6B)
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
