@@ -30,3 +30,10 @@ def test_places_and_operator(spark, docs, none):
     assert L.license_scan(none).count() == 0
     one = L.license_scan(spark.createDataFrame([(1, "The GNU General Public License, version 3")], "doc_id int, text string")).first()
     assert (one.n_words, one.n_base, one.first_word, one.last_word, one.base_labels, one.labels) == (7, 1, 1, 1, ["gpl"], ["gpl"]) and 0 < one.score < 1 and one.detections[0].label == "gpl"
+
+
+def test_compound_expressions():
+    labels = lambda x: {d.label for d in L.detect(x.lower())}
+    assert labels("// SPDX-License-Identifier: MIT OR Apache-2.0") == {"mit", "apache"}
+    assert labels("// SPDX-License-Identifier: (ISC AND (Zlib OR MIT))") == {"isc", "zlib", "mit"}
+    assert labels("// SPDX-License-Identifier: MIT\nor Apache-like") == {"mit"}

@@ -109,6 +109,8 @@ def rules() -> list[Rule]:
         add = lambda kind, pattern, key: out.append(Rule(label, pattern, key, *KINDS[kind]))  # noqa: B023, E731
         for tag in tags:
             add("spdx", rf"spdx-license-identifier:\s*\(?{re.escape(tag.lower())}(?![\w.-])", "spdx")
+            # a later identifier of a compound expression stands where it is named
+            add("spdx", rf"spdx-license-identifier:\s*(?:[\w.+()-]+\s+(?:or|and|with)\s+)+\(?(?P<at>{re.escape(tag.lower())})(?![\w.-])", "spdx")
             add("spdx", rf"[\"']?licen[cs]e[\"']?\s*[:=]\s*[\"']{re.escape(tag.lower())}[\"']", "licen")
         if grant:
             add("grant", grant, grant_key(grant))
@@ -145,7 +147,8 @@ def detect(lowered: str) -> list[Detection]:
     found: list[Detection] = []
     for i in {i for k in {k for _, k in auto.iter(" ".join(lowered.split()))} for i in by_key[k]}:
         r, rx = made[i]
-        found += [Detection(m.start(), m.end(), r.label, r.priority, r.weight) for m in rx.finditer(lowered) if m.end() > m.start()]
+        at = "at" if "at" in rx.groupindex else 0
+        found += [Detection(m.start(at), m.end(at), r.label, r.priority, r.weight) for m in rx.finditer(lowered) if m.end(at) > m.start(at)]
     return suppress(found)
 
 
