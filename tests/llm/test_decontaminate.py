@@ -39,3 +39,31 @@ def test_operator(spark, docs, none):
     assert D.benchmark_overlap(none, bench).count() == 0
     kept = D.remove_contaminated(docs, bench)
     assert kept.columns == docs.columns and kept.count() == 5
+
+
+def test_benchmarks_one_after_another(spark):
+    """Workers live on from one benchmark to the next; none may meet an older one's tables."""
+    passage = lambda i: " ".join(f"word{i}x{k}" for k in range(13))
+    docs = spark.createDataFrame([(i, f"before {passage(i)} after") for i in range(25)], "doc_id int, text string").repartition(3).cache()
+    for i in range(25):
+        bench = spark.createDataFrame([(f"item{i}", passage(i))], "item_id string, text string")
+        assert [(r.doc_id, r.item_ids) for r in D.benchmark_overlap(docs, bench).where("n_hit > 0").collect()] == [(i, [f"item{i}"])]
+        if i % 8 == 0:
+            assert sorted(r.doc_id for r in D.remove_contaminated(docs, bench).collect()) == [x for x in range(25) if x != i]
+
+
+def test_blocks_over_tasks(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice("abcdefg") for _ in range(n))
+    items = [(f"i{k}", text(rng.choice([1, 3, 5, 6, 8]))) for k in range(12)]
+    rows = [(i, text(rng.choice([0, 4, 30, 200]))) for i in range(60)]
+    docs, bench = spark.createDataFrame(rows, "doc_id int, text string").repartition(5), spark.createDataFrame(items, "item_id string, text string")
+    for block in (1, 20, 1 << 20):
+        got = {r.doc_id: r for r in D.benchmark_overlap(docs, bench, window=5, block_bytes=block).collect()}
+        kept = {r.doc_id for r in D.remove_contaminated(docs, bench, window=5, block_bytes=block).collect()}
+        for i, x in rows:
+            w = D.words(x.encode())
+            marks, found = brute(w, [(k, t.encode()) for k, t in items], 5)
+            assert (got[i].n_words, got[i].n_hit, got[i].item_ids) == (len(w), int(marks.sum()), sorted(found))
+            full, _ = brute(w, [(k, t.encode()) for k, t in items if len(t.split()) >= 5], 5)
+            assert (i in kept) == (not full.any() and not (marks.any() and 20 * marks.sum() >= len(w)))
