@@ -47,10 +47,23 @@ def new_folder(spark: SparkSession, kind: str) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through a table in the shared folder, which outlives any executor. Computes df once."""
+    """Cuts the lineage through a table in the shared folder, which outlives any executor. Computes df once.
+
+    The driver's collector runs then: shuffle files of a finished plan go from the executors' disks only once the driver finds
+    that nothing refers to the plan any more.
+    """
     path = new_folder(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._weftline_table = path
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables that checkpoint() made and that no result reads any more."""
+    for t in tables:
+        remove_folder(t.sparkSession, t._weftline_table)
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
