@@ -7,6 +7,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,17 +47,28 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through a table in the shared folder, which outlives any executor. Computes df once.
+#: With this on, an execution's shuffle files go from the executors' disks when it ends, not when the driver's collector finds the plan.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Executions inside leave no shuffle files; what they made must be stored."""
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
+
 
-    The driver's collector runs then: shuffle files of a finished plan go from the executors' disks only once the driver finds
-    that nothing refers to the plan any more.
-    """
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the lineage through a table in the shared folder, which outlives any executor. Computes df once."""
     path = new_folder(df.sparkSession, "table")
-    df.write.parquet(path)
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._weftline_table = path
-    df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import shared_folder
+from weftline.llm.common import shared_folder, tidy
 
 #: Links that one task writes, about: links are few beside what they come from, and small files cost more than they hold.
 TASK_LINKS = 200_000
@@ -14,7 +14,8 @@ TASK_LINKS = 200_000
 def _cut(e: DataFrame, links: int) -> DataFrame:
     """The links without their lineage, in the shared folder."""
     shared_folder(e.sparkSession)
-    return e.coalesce(1 + links // TASK_LINKS).checkpoint(eager=True)
+    with tidy(e.sparkSession):
+        return e.coalesce(1 + links // TASK_LINKS).checkpoint(eager=True)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -25,7 +26,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     e = edges.where("src is not null and dst is not null").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
     shared_folder(e.sparkSession)
-    e = e.checkpoint(eager=True)
+    with tidy(e.sparkSession):
+        e = e.checkpoint(eager=True)
     seen = _state(e)
     for _ in range(rounds):
         if not seen[0]:
