@@ -65,3 +65,13 @@ def test_cases(docs, none):
 def test_repeated_starts():
     text = np.frombuffer(b"abcabcabcabc", np.uint8)
     assert S.repeated_starts(text, np.arange(4), 9).tolist() == [False, False, False, True]
+
+
+def test_texts_of_one_id(spark):
+    """Different texts under one id, and under none, keep what doesn't repeat."""
+    rng = random.Random(8)
+    text = lambda: "".join(rng.choices("abcdefghijklmnop ", k=300))
+    first, lone, other, third = (text() for _ in range(4))
+    rows = [(0, first), (7, first[50:250]), (7, lone), (None, other), (None, third), (None, third), (9, "x" + other[:150])]
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_removed) for r in S.dedup_strings(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(True, 0, 300, 0), (True, 7, 200, 200), (True, 7, 300, 0), (False, 0, 300, 0), (False, 0, 300, 0), (False, 0, 300, 0), (True, 9, 151, 150)])

@@ -144,12 +144,13 @@ class Repeats:
 
 
 def _input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(-(1 << 63))).alias("id"), raw(text_col).alias("__text"))
+    """id (null: the smallest integer), own (a hash of the text, which tells texts of one id, or of none, apart) and the bytes. A document is what id and own name."""
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(raw(text_col)).alias("own"), raw(text_col).alias("__text"))
 
 
-def _texts(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+def _texts(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
     for part in slices(b, 4 << 20):  # what repeats inside a slice isn't shuffled
-        yield np.asarray(part.column("id")), part.column("__text").to_pylist()
+        yield np.asarray(part.column("id")), np.asarray(part.column("own")), part.column("__text").to_pylist()
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +166,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
 
     def hashes(batches):
         for b in batches:
-            for ids, texts in _texts(b):
+            for ids, _, texts in _texts(b):
                 texts = [(i, x) for i, x in zip(ids.tolist(), texts) if len(x) >= length]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(x, s) for _, x in texts], pa.uint64()).view(pa.int64()) for s in (3, 4)] + [pa.array([i for i, _ in texts], pa.int64())], ["key", "check", "id"])
 
@@ -175,9 +176,9 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
 
     def keys(batches):
         for b in batches:
-            for ids, texts in _texts(b):
-                own = [x for x, c in zip(texts, store.copies(ids, texts)) if not c]
-                key, n = np.unique(stretches(*_joined(own), length, gram)[0], return_counts=True)
+            for ids, _, texts in _texts(b):
+                left = [x for x, c in zip(texts, store.copies(ids, texts)) if not c]
+                key, n = np.unique(stretches(*_joined(left), length, gram)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
     often = given.mapInArrow(keys, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
@@ -186,14 +187,14 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
 
 
 def removed_spans(docs: DataFrame, store: Repeats, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, chunk: int = CHUNK) -> DataFrame:
-    """id, lo, hi: byte spans to remove, which may overlap. Whole copies have none."""
+    """id, own, lo, hi: byte spans to remove, which may overlap. Whole copies have none."""
     length = store.length
 
     def met(batches):
         for b in batches:
-            for ids, texts in _texts(b):
+            for ids, owns, texts in _texts(b):
                 copy = store.copies(ids, texts)
-                ids, texts = ids[~copy], [x for x, c in zip(texts, copy) if not c]
+                ids, owns, texts = ids[~copy], owns[~copy], [x for x, c in zip(texts, copy) if not c]
                 data, offsets = _joined(texts)
                 key, start, n = stretches(data, offsets, length, store.gram)
                 there, got = hash_store.lookup(f"{store.folder}/keys", store.bits, key, {"n": "<u4"})
@@ -202,26 +203,26 @@ def removed_spans(docs: DataFrame, store: Repeats, id_col: str = "doc_id", text_
                 if full.any():  # one row for each start
                     cuts = n[full]
                     each = np.repeat(start[full], cuts) + np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-                    own = np.array([xxhash.xxh64_intdigest(data[s : s + length].tobytes(), 5) for s in each.tolist()], np.uint64)
-                    key = np.concatenate([key[~full], own])
+                    each_key = np.array([xxhash.xxh64_intdigest(data[s : s + length].tobytes(), 5) for s in each.tolist()], np.uint64)
+                    key = np.concatenate([key[~full], each_key])
                     start, n = np.concatenate([start[~full], each]), np.concatenate([n[~full], np.ones(len(each), np.int64)])
                 doc = np.searchsorted(offsets, start, side="right") - 1
-                order = np.lexsort([start - offsets[doc], ids[doc]]) if len(start) else np.zeros(0, np.int64)
+                order = np.lexsort([start - offsets[doc], owns[doc], ids[doc]]) if len(start) else np.zeros(0, np.int64)
                 key, start, n, doc = key[order], start[order], n[order], doc[order]
                 place = start - offsets[doc]
                 flat, seen, stretch = data.tobytes(), {}, []
                 spread = mix(ids[doc].view(np.uint64) * np.uint64(31) + place.astype(np.uint64))
-                for i, (s, m, k, d, p) in enumerate(zip(start.tolist(), n.tolist(), key.tolist(), ids[doc].tolist(), place.tolist())):
+                for i, (s, m, *at) in enumerate(zip(start.tolist(), n.tolist(), ids[doc].tolist(), owns[doc].tolist(), place.tolist())):
                     x = flat[s : s + m + length - 1]
-                    if seen.setdefault(x, (d, p)) < (d, p):
+                    if seen.setdefault(x, at) < at:
                         x = None  # stands earlier in this batch
                         key[i] = spread[i]
                     stretch.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc]), pa.array(place), pa.array(n), pa.array(stretch, pa.binary())], ["key", "id", "start", "n", "stretch"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc]), pa.array(owns[doc]), pa.array(place), pa.array(n), pa.array(stretch, pa.binary())], ["key", "id", "own", "start", "n", "stretch"])
 
     def solve(batches):
         last, seen, held, size = None, {}, [], 0
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int, int, int]] = []
 
         def flush():
             nonlocal held, size
@@ -230,8 +231,8 @@ def removed_spans(docs: DataFrame, store: Repeats, id_col: str = "doc_id", text_
             held, size = [], 0
             if not many:
                 return
-            text = np.frombuffer(b"".join(h[4] for h in many), np.uint8)
-            n = np.array([h[3] for h in many])
+            text = np.frombuffer(b"".join(h[5] for h in many), np.uint8)
+            n = np.array([h[4] for h in many])
             base = np.concatenate([[0], np.cumsum(n + length - 1)])[:-1]
             row = np.repeat(np.arange(len(many)), n)
             inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -241,36 +242,36 @@ def removed_spans(docs: DataFrame, store: Repeats, id_col: str = "doc_id", text_
                 return
             cut = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(row[at], prepend=-1) != 0))
             for lo, hi in zip(at[cut], [*at[cut[1:] - 1], at[-1]]):
-                _, d, p, _, _ = many[row[lo]]
-                out.append((d, p + int(inner[lo]), p + int(inner[hi]) + length))
+                _, d, o, p, _, _ = many[row[lo]]
+                out.append((d, o, p + int(inner[lo]), p + int(inner[hi]) + length))
 
         def take():
             nonlocal out
-            cols = list(zip(*out)) or [(), (), ()]
+            cols = list(zip(*out)) or [(), (), (), ()]
             out = []
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "lo", "hi"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "own", "lo", "hi"])
 
         for b in batches:
-            for k, d, p, n, x in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for k, d, o, p, n, x in zip(*(b.column(i).to_pylist() for i in range(6))):
                 if x is None:
-                    out.append((d, p, p + n + length - 1))
+                    out.append((d, o, p, p + n + length - 1))
                     continue
                 if k != last:
                     if size > chunk:
                         flush()
                     last, seen = k, {}
-                first = seen.setdefault(x, (d, p))
-                if first < (d, p):
-                    out.append((d, p, p + n + length - 1))
-                elif first == (d, p) and not (held and held[-1][:3] == (k, d, p)):
-                    held.append((k, d, p, n, x))
+                first = seen.setdefault(x, (d, o, p))
+                if first < (d, o, p):
+                    out.append((d, o, p, p + n + length - 1))
+                elif first == (d, o, p) and not (held and held[-1][:4] == (k, d, o, p)):
+                    held.append((k, d, o, p, n, x))
                     size += len(x)
             yield take()
         flush()
         yield take()
 
-    rows = _input(docs, id_col, text_col).mapInArrow(met, "key bigint, id bigint, start bigint, n bigint, stretch binary")
-    return rows.repartition("key").sortWithinPartitions("key", "id", "start").mapInArrow(solve, "id bigint, lo bigint, hi bigint")
+    rows = _input(docs, id_col, text_col).mapInArrow(met, "key bigint, id bigint, own bigint, start bigint, n bigint, stretch binary")
+    return rows.repartition("key").sortWithinPartitions("key", "id", "own", "start").mapInArrow(solve, "id bigint, own bigint, lo bigint, hi bigint")
 
 
 def union(spans: np.ndarray, most: int) -> np.ndarray:
@@ -285,12 +286,13 @@ def union(spans: np.ndarray, most: int) -> np.ndarray:
 def dedup_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, crowd: int = CROWD) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, and kept: the bytes left as binary, or with digests their SHA-256 as kept_sha256.
 
-    A row for each row. Integer ids; null ids come first; rows repeated under one id count as one document. Null and empty
+    A row for each row. Integer ids; null ids come first. Different texts under one id, or under none, are documents of their
+    own, in the order of a hash of their text; rows of one id and one text count as one document. Null and empty
     texts, and those under length bytes, keep all they have. Bytes left need not be valid UTF-8.
     """
     store = find_repeats(docs, length, gram, id_col, text_col)
-    spans = removed_spans(docs, store, id_col, text_col, crowd).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).select("id", F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
-    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("own"), F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(-(1 << 63))).alias("id"), raw(text_col).alias("__text"))
+    spans = removed_spans(docs, store, id_col, text_col, crowd).groupBy("id", "own").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).select("id", "own", F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("given"), F.xxhash64(raw(text_col)).alias("own"), F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(-(1 << 63))).alias("id"), raw(text_col).alias("__text"))
 
     def run(batches):
         for b in batches:
@@ -308,7 +310,7 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_co
                     left = b"".join(kept)
                     rows.append((len(x), len(x) - len(left), len(found), sha(left) if digests else left))
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([part.column("own"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string() if digests else pa.binary())], [id_col, "n_bytes", "n_removed", "n_spans", last])
+                yield pa.RecordBatch.from_arrays([part.column("given"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string() if digests else pa.binary())], [id_col, "n_bytes", "n_removed", "n_spans", last])
 
     last = "kept_sha256" if digests else "kept"
-    return rows.join(spans, "id", "left").select("own", "id", "__text", "lo", "hi").mapInArrow(run, f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, {last} {'string' if digests else 'binary'}")
+    return rows.join(spans, ["id", "own"], "left").select("given", "id", "__text", "lo", "hi").mapInArrow(run, f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, {last} {'string' if digests else 'binary'}")
