@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -343,3 +344,36 @@ def test_windows_have_partitions(spark):
     """Row ids never need a window over a whole table."""
     plan = order.with_row_ids(spark.range(10), "id")._jdf.queryExecution().toString()
     assert "windowspecdefinition(__block" in plan
+
+
+def test_csv_late_columns_and_headers(spark, tmp_path):
+    """Columns first seen late, headers and preambles of each file, and a data row that equals the header."""
+
+    late = tmp_path / "late.csv"
+    late.write_text("".join(f"{i},{i}\n" for i in range(80)) + "3,4,5,6\n")
+    got = readers.read_csv(spark, str(late), header=False)
+    assert got.columns == [f"column-{i}" for i in range(4)] and got.count() == 81
+    assert got.where("`column-3` = 6").count() == 1
+    wide = tmp_path / "wide.csv"
+    wide.write_text('x,y\n1,2\n3,4,5\nx,y\n"a,b",7\n')
+    got = readers.read_csv(spark, str(wide))
+    assert got.columns == ["x", "y", "column-2"] and sorted(r.x for r in got.collect()) == ["1", "3", "a,b", "x"]
+    folder = tmp_path / "two"
+    folder.mkdir()
+    for i in range(2):
+        (folder / f"{i}.csv").write_text(f"junk one\nn,s\n{i},a\n{i + 10},b\n")
+    got = readers.read_csv(spark, str(folder), skip_rows=1)
+    assert sorted((r.n, r.s) for r in got.collect()) == [(0, "a"), (1, "a"), (10, "b"), (11, "b")]
+
+
+def test_kendall_of_many_values(spark):
+    """More distinct values than classes give the same as all pairs do."""
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 400, 500).astype(float)
+    y = np.where(rng.random(500) < 0.3, 0, x + rng.integers(0, 400, 500)).astype(float)
+    at = np.triu_indices(500, 1)
+    sx, sy = (np.sign(v[:, None] - v[None])[at] for v in (x, y))
+    want = (sx * sy).sum() / np.sqrt((sx != 0).sum() * (sy != 0).sum())
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    assert stats.kendall(df, "x", "y") == pytest.approx(want) and stats.kendall(df, "x", "y", cells=7) == pytest.approx(want)

@@ -100,32 +100,62 @@ def correlation(df: DataFrame, lhs: str, rhs: str, kind: str = "pearson") -> flo
     return correlation_table(df, kind, [lhs, rhs]).first()["correlation"]
 
 
-def kendall(df: DataFrame, lhs: str, rhs: str, cells: int = 512) -> float | None:
-    """Tau-b. Values are cut into at most cells classes on either side; if there are more distinct ones, it is the tau-b of the classes."""
-    rows = df.where(c(lhs).isNotNull() & c(rhs).isNotNull()).select(c(lhs).cast("double").alias("x"), c(rhs).cast("double").alias("y"))
+def _agreement(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """Sum over pairs of sign(dx) * sign(dy), by weight: pairs in order less pairs out of order, counted while merging."""
+    rank = np.unique(y, return_inverse=True)[1]
+    out = 0.0
+    for sign, r in ((-1, rank), (1, -rank)):  # pairs that fall, then pairs that rise; of equal x none does either
+        order = np.lexsort([r, x])
+        v, w, at = r[order], weight[order], np.arange(len(x))
+        width = 1
+        while width < len(x):
+            pair, left = at // (2 * width), (at // width) % 2 == 0
+            by = np.lexsort([~left, v, pair])  # of equals the left ones first: they don't count
+            lw = np.where(left, w, 0.0)[by]
+            upto = np.cumsum(lw)
+            end = np.searchsorted(pair[by], pair[by], side="right") - 1
+            out += sign * float(((upto[end] - upto) * np.where(left, 0.0, w)[by]).sum())
+            width *= 2
+    return out
 
-    def classes(x: str) -> list[float]:
-        distinct = [r[0] for r in rows.select(x).distinct().limit(cells + 1).collect()]
-        return sorted(distinct) if len(distinct) <= cells else sorted(set(rows.approxQuantile(x, [i / cells for i in range(cells + 1)], 1e-4)))
 
-    xs, ys = classes("x"), classes("y")
-    if not xs or not ys:
+def kendall(df: DataFrame, lhs: str, rhs: str, cells: int = 512) -> float | None:
+    """Tau-b, of all values. Both sides are cut into at most cells classes: pairs that differ in both classes are counted from how many rows each two classes hold, others inside the classes, each in a task."""
+    rows = df.where(c(lhs).isNotNull() & c(rhs).isNotNull()).select(c(lhs).cast("double").alias("x"), c(rhs).cast("double").alias("y")).groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    cuts = [sorted(set(rows.approxQuantile(v, [i / cells for i in range(cells + 1)], 1e-4))) for v in ("x", "y")]
+    if not all(cuts):
         return None
-    place = lambda x, at: F.size(F.filter(F.array(*[F.lit(v) for v in at]), lambda v: v <= F.col(x))) - 1
-    got = rows.groupBy(place("x", xs).alias("i"), place("y", ys).alias("j")).count().collect()
-    m = np.zeros((len(xs), len(ys)))
+    # a class holds what is at its lower end, or above it up to the next: common values are classes of their own
+    place = lambda v, at: 2 * F.size(F.filter(F.array(*[F.lit(k) for k in at]), lambda k: k <= F.col(v))) - F.array_contains(F.array(*[F.lit(k) for k in at]), F.col(v)).cast("int")
+    dealt = rows.withColumns({"i": place("x", cuts[0]), "j": place("y", cuts[1])})
+
+    def inside(name: str):
+        def run(key, part):
+            x, y, w = (part[k].to_numpy() for k in ("x", "y", "w"))
+            total = _agreement(x, y, w)
+            if name == "y":  # pairs of one cell have been counted by the other side
+                for _, cell in part.groupby("i"):
+                    total -= _agreement(*(cell[k].to_numpy() for k in ("x", "y", "w")))
+            return pd.DataFrame({"s": [total]})
+
+        return run
+
+    # a class of one value has no pair that differs in it
+    some = lambda k, v: dealt.join(dealt.groupBy(k).agg((F.min(v) < F.max(v)).alias("some")).where("some").select(k), k)
+    s = sum(some(k, v).groupBy(k).applyInPandas(inside(v), "s double").agg(F.sum("s")).first()[0] or 0.0 for k, v in (("i", "x"), ("j", "y")))
+    got = dealt.groupBy("i", "j").agg(F.sum("w").alias("w")).collect()
+    m = np.zeros((2 * len(cuts[0]) + 1, 2 * len(cuts[1]) + 1))
     for r in got:
-        m[r.i, r.j] = r["count"]
-    after = m[::-1, ::-1].cumsum(0).cumsum(1)[::-1, ::-1]
-    con = (m[:-1, :-1] * after[1:, 1:]).sum()
+        m[r.i, r.j] = r.w
+    later = lambda a: a[::-1, ::-1].cumsum(0).cumsum(1)[::-1, ::-1]
+    s += (m[:-1, :-1] * later(m)[1:, 1:]).sum()
     flip = m[:, ::-1]
-    back = flip[::-1, ::-1].cumsum(0).cumsum(1)[::-1, ::-1]
-    dis = (flip[:-1, :-1] * back[1:, 1:]).sum()
+    s -= (flip[:-1, :-1] * later(flip)[1:, 1:]).sum()
     n = m.sum()
+    ties = [rows.groupBy(v).agg(F.sum("w").alias("w")).agg(F.sum(F.col("w") * (F.col("w") - 1) / 2)).first()[0] for v in ("x", "y")]
     pairs = n * (n - 1) / 2
-    tx, ty = ((m.sum(1) * (m.sum(1) - 1)) / 2).sum(), ((m.sum(0) * (m.sum(0) - 1)) / 2).sum()
-    below = np.sqrt((pairs - tx) * (pairs - ty))
-    return float((con - dis) / below) if below else None
+    below = np.sqrt((pairs - ties[0]) * (pairs - ties[1]))
+    return float(s / below) if below else None
 
 
 def fit_std_scale(df: DataFrame, selector: Selector = None, mean: bool = True, stddev: bool = True) -> dict[str, dict[str, float]]:

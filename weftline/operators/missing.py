@@ -97,17 +97,17 @@ def _with_values(df: DataFrame, cols: list[str], value) -> DataFrame:
     return df.withColumns({x: F.coalesce(c(x), *fall[x]) for x in cols})
 
 
-def _with_draws(df: DataFrame, cols: list[str], seed: int, size: int = 10_000) -> DataFrame:
-    """Approximate Bayesian bootstrap: a draw, with replacement, of as many values as a sample of at most size has, and each null one of those."""
-    import random
-
+def _with_draws(df: DataFrame, cols: list[str], seed: int) -> DataFrame:
+    """Approximate Bayesian bootstrap: of the n values that are there n are drawn with replacement, and each null one of those. The j-th draw is the value at hash(j) of n, so that no drawn value need be held."""
     out = df
     for k, x in enumerate(cols):
-        there = [r[0] for r in df.where(c(x).isNotNull()).select(c(x)).orderBy(F.rand(seed + k)).limit(size).collect()]
-        if there:
-            rng = random.Random(seed + k)
-            pool = F.array(*[F.lit(rng.choice(there)) for _ in range(min(len(there), 1000))])
-            out = out.withColumn(x, F.coalesce(c(x), F.element_at(pool, (F.floor(F.rand(seed + 31 * k + 1) * F.size(pool)) + 1).cast("int")).cast(df.schema[x].dataType)))
+        there = with_row_ids(df.where(c(x).isNotNull()).select(c(x).alias("__v")), "__v", "__at")
+        n = there.count()
+        if n:
+            draw = F.pmod(F.xxhash64(F.lit(seed + k), F.floor(F.rand(seed + 31 * k + 1) * n)), F.lit(n))
+            # rows that need none go to as many places as there are of them
+            at = F.when(c(x).isNull(), draw).otherwise(-1 - F.floor(F.rand(seed + 31 * k + 2) * (1 << 40)).cast("bigint"))
+            out = out.withColumn("__at", at).join(there, "__at", "left").select(*[F.coalesce(c(x), F.col("__v")).alias(x) if y == x else c(y) for y in df.columns])
     return out
 
 

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,18 +146,26 @@ class PCA:
 
 
 def fit_pca(df: DataFrame, selector: Selector = None, n_components: int | None = None, variance_amount: float = 0.95) -> PCA:
-    """Principal components of the covariance matrix, which one pass adds up; nulls are an error. The driver solves a matrix of columns by columns."""
+    """Principal components of the covariance matrix, of columns less their means; nulls are an error. Tasks add up products of their rows, and the driver solves a matrix of columns by columns."""
     cols = [x for x in resolve(df, selector) if is_numeric(df.schema[x].dataType)]
-    aggs = [F.count_if(c(x).isNull()) for x in cols] + [F.avg(c(x).cast("double")) for x in cols]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    aggs += [F.covar_samp(c(cols[i]).cast("double"), c(cols[j]).cast("double")) for i, j in pairs]
-    got = list(df.agg(*aggs).first())
     n = len(cols)
-    if any(got[:n]):
+    got = list(df.agg(F.count(F.lit(1)), *[F.count_if(c(x).isNull()) for x in cols], *[F.avg(c(x).cast("double")) for x in cols]).first())
+    if any(got[1 : n + 1]):
         raise ValueError("nulls in columns of a PCA")
-    cov = np.zeros((n, n))
-    for (i, j), v in zip(pairs, got[2 * n :]):
-        cov[i, j] = cov[j, i] = v or 0.0
+    means = got[n + 1 :]
+
+    def products(batches):
+        total = np.zeros((n, n))
+        for b in batches:
+            if b.num_rows:
+                x = np.stack([np.asarray(a, np.float64) for a in b.columns], 1) - np.array(means)
+                total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n * n)), pa.array(total.ravel())], ["at", "v"])
+
+    cov = np.zeros(n * n)
+    for r in df.select(*[c(x).cast("double").alias(f"x{i}") for i, x in enumerate(cols)]).mapInArrow(products, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+        cov[r["at"]] = r["v"]
+    cov = cov.reshape(n, n) / max(got[0] - 1, 1)
     values, vectors = np.linalg.eigh(cov)
     order = np.argsort(values)[::-1]
     values, vectors = values[order].clip(0), vectors[:, order]
@@ -164,7 +173,7 @@ def fit_pca(df: DataFrame, selector: Selector = None, n_components: int | None =
     if n_components is None:
         share = np.cumsum(values) / max(values.sum(), 1e-300)
         n_components = min(n, int(np.searchsorted(share, variance_amount) + 1))
-    return PCA(cols, got[n : 2 * n], vectors, values, n_components)
+    return PCA(cols, means, vectors, values, n_components)
 
 
 def transform_pca(df: DataFrame, pca: PCA, n_components: int | None = None, keep: bool = False) -> DataFrame:

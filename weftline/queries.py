@@ -157,16 +157,18 @@ def left_join(s, d):
     return joins.left_join(("c_custkey", "o_custkey"), t(s, d, "customer").select("c_custkey", "c_name"), t(s, d, "orders").select("o_orderkey", "o_custkey"))
 
 
-@query('SELECT l.k AS k, l.a AS a, r.k AS "right.k", r.a AS "right.a" FROM (SELECT n_nationkey AS k, n_name AS a FROM nation WHERE n_nationkey < 15) l RIGHT JOIN (SELECT n_nationkey AS k, n_name AS a FROM nation WHERE n_nationkey > 5) r USING (k)')
+@query('SELECT l.k AS k, l.a AS a, r.k AS "right.k", r.a AS "right.a" FROM (SELECT r_regionkey AS k, r_name AS a FROM region) l RIGHT JOIN (SELECT n_nationkey AS k, n_name AS a FROM nation) r USING (k)')
 def right_join(s, d):
-    n = t(s, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("a"))
-    return joins.right_join("k", n.where("k < 15"), n.where("k > 5"))
+    """Keys of regions against those of nations, most of which have no match."""
+    left = t(s, d, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("a"))
+    return joins.right_join("k", left, t(s, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("a")))
 
 
-@query("SELECT coalesce(l.k, r.k) AS k, l.a AS a, r.b AS b FROM (SELECT n_nationkey AS k, n_name AS a FROM nation WHERE n_nationkey < 15) l FULL JOIN (SELECT n_nationkey AS k, n_regionkey AS b FROM nation WHERE n_nationkey > 5) r ON l.k IS NOT DISTINCT FROM r.k")
+@query("SELECT coalesce(l.k, r.k) AS k, l.a AS a, r.b AS b FROM (SELECT n_nationkey AS k, n_name AS a FROM nation) l FULL JOIN (SELECT s_suppkey AS k, s_nationkey AS b FROM supplier) r ON l.k IS NOT DISTINCT FROM r.k")
 def outer_merge(s, d):
-    n = t(s, d, "nation")
-    return joins.pd_merge(n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("a")).where("k < 15"), n.select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("b")).where("k > 5"), "outer")
+    """Keys of nations against those of suppliers; either side has keys that the other lacks."""
+    right = t(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("b"))
+    return joins.pd_merge(t(s, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("a")), right, "outer")
 
 
 @query("SELECT r_name, n_name FROM region, nation")
@@ -306,14 +308,13 @@ def unique(s, d):
     return rows.unique(t(s, d, "part"), "p_brand")
 
 
-_A = "SELECT o_orderpriority AS p, o_orderstatus AS s FROM orders WHERE o_orderkey % 3 = 0"
-_B = "SELECT o_orderpriority AS p, o_orderstatus AS s FROM orders WHERE o_orderkey % 3 = 1 AND o_orderstatus <> 'P'"
+_A = "SELECT o_custkey AS p, o_orderstatus AS s FROM orders"
+_B = "SELECT c_custkey AS p, 'O' AS s FROM customer"
 
 
 def _two(s, d):
-    o = t(s, d, "orders")
-    cols = ("o_orderpriority AS p", "o_orderstatus AS s")
-    return o.where("o_orderkey % 3 = 0").selectExpr(*cols), o.where("o_orderkey % 3 = 1 AND o_orderstatus <> 'P'").selectExpr(*cols)
+    """The customer and status of each order, and each customer with one status."""
+    return t(s, d, "orders").selectExpr("o_custkey AS p", "o_orderstatus AS s"), t(s, d, "customer").selectExpr("c_custkey AS p", "'O' AS s")
 
 
 @query(f"SELECT p, s FROM (SELECT p, s, max(n) AS n FROM (SELECT p, s, count(*) AS n FROM ({_A}) GROUP BY ALL UNION ALL SELECT p, s, count(*) AS n FROM ({_B}) GROUP BY ALL) GROUP BY ALL), generate_series(1, n) g(k)")
@@ -346,11 +347,13 @@ def unroll_column(s, d):
     return reshape.unroll_column(t(s, d, "embeddings").select("vec_id", "embedding"), "embedding", "idx")
 
 
-@query("""SELECT 'lo' AS col, sum(CASE WHEN k = 0 THEN lo END) AS "0", sum(CASE WHEN k = 1 THEN lo END) AS "1" FROM (SELECT n_regionkey AS k, CAST(min(n_nationkey) AS DOUBLE) AS lo, CAST(max(n_nationkey) AS DOUBLE) AS hi FROM nation GROUP BY ALL)
-    UNION ALL SELECT 'hi', sum(CASE WHEN k = 0 THEN hi END), sum(CASE WHEN k = 1 THEN hi END) FROM (SELECT n_regionkey AS k, CAST(min(n_nationkey) AS DOUBLE) AS lo, CAST(max(n_nationkey) AS DOUBLE) AS hi FROM nation GROUP BY ALL)""")
+_BY_REGION = "(SELECT n_regionkey AS k, CAST(min(n_nationkey) AS DOUBLE) AS lo, CAST(max(n_nationkey) AS DOUBLE) AS hi FROM nation GROUP BY ALL)"
+
+
+@query(" UNION ALL ".join(f"SELECT '{x}' AS col, " + ", ".join(f'sum(CASE WHEN k = {k} THEN {x} END) AS "{k}"' for k in range(5)) + f" FROM {_BY_REGION}" for x in ("lo", "hi")))
 def transpose_by_key(s, d):
     g = t(s, d, "nation").groupBy(F.col("n_regionkey").alias("k")).agg(F.min("n_nationkey").cast("double").alias("lo"), F.max("n_nationkey").cast("double").alias("hi"))
-    return reshape.transpose_by_key(g, "k", keys=[0, 1])
+    return reshape.transpose_by_key(g, "k", keys=[0, 1, 2, 3, 4])
 
 
 @query("SELECT *, s_acctbal * 2 AS twice FROM supplier")
@@ -415,10 +418,10 @@ def select_missing(s, d):
     return rows.select_missing(_holes(s, d)).select("event_id")
 
 
-@query("""WITH k AS (SELECT DISTINCT CAST(p_size AS DOUBLE) * 5 AS k FROM part WHERE p_size % 4 = 0), b AS (SELECT k, lag(k) OVER (ORDER BY k) AS a FROM k), m AS (SELECT a, k, CAST(ceil((k - a) / 6) AS BIGINT) AS n FROM b WHERE k - a > 6)
+@query("""WITH k AS (SELECT DISTINCT CAST(p_size AS DOUBLE) * p_size AS k FROM part), b AS (SELECT k, lag(k) OVER (ORDER BY k) AS a FROM k), m AS (SELECT a, k, CAST(ceil((k - a) / 6) AS BIGINT) AS n FROM b WHERE k - a > 6)
     SELECT round(k, 6) AS k, round(k, 6) AS v FROM k UNION ALL SELECT round(a + (k - a) * i / n, 6) AS k, round(a, 6) AS v FROM m, generate_series(1, n - 1) g(i)""")
 def fill_range_replace(s, d):
-    src = t(s, d, "part").where("p_size % 4 = 0").select((F.col("p_size").cast("double") * 5).alias("k")).distinct().withColumn("v", F.col("k"))
+    src = t(s, d, "part").select((F.col("p_size").cast("double") * F.col("p_size")).alias("k")).distinct().withColumn("v", F.col("k"))
     return rounded(missing.fill_range_replace(src, "k", 6.0), "k", "v")
 
 
@@ -483,8 +486,8 @@ def train_test_split(s, d):
 @query()
 def pca(s, d):
     e = t(s, d, "embeddings")
-    wide = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    return modelling.transform_pca(wide, modelling.fit_pca(wide, [f"e{i}" for i in range(8)], 3))
+    wide = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    return modelling.transform_pca(wide, modelling.fit_pca(wide, [f"e{i}" for i in range(64)], 3))
 
 
 @query()

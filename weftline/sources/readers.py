@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Mapping
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,11 +40,40 @@ def unique_names(raw: Iterable[str | None]) -> list[str]:
     return out
 
 
+def _data_lines(spark: SparkSession, path: str, skip_rows: int, header: bool, comment: str | None) -> DataFrame:
+    """value: the lines of all files but blank ones, comments, and of each file the first skip_rows and the header. Only a file's first split is numbered."""
+    there = (F.trim("value") != "") & (~F.startswith("value", F.lit(comment)) if comment else F.lit(True))
+    text = spark.read.text(path)
+    if not skip_rows and not header:
+        return text.where(there)
+    text = text.select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__from"), F.monotonically_increasing_id().alias("__i"))
+    w = Window.partitionBy("__file").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
+    head = text.where("__from = 0").withColumn("__n", F.count(F.lit(1)).over(w)).where(F.col("__n") > skip_rows).where(there)
+    if header:
+        head = head.withColumn("__n", F.count(F.lit(1)).over(w)).where("__n > 1")
+    return head.select("value").unionByName(text.where("__from > 0").where(there).select("value"))
+
+
+def _count(value: Column, sep: str) -> Column:
+    """Fields of a line: separators outside quotes, and one more."""
+    bare = F.regexp_replace(value, '"(?:[^"]|"")*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
+
+
+def _fields(lines: DataFrame, sep: str) -> int:
+    """Fields of the line that has most."""
+    return lines.agg(F.max(_count(F.col("value"), sep))).first()[0] or 0
+
+
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: bool = True, parser: Mapping | str | None = None, columns: Iterable[str] | None = None, block: Iterable[str] = (), n_rows: int | None = None, skip_rows: int = 0, comment: str | None = "#", bad_rows: str = "PERMISSIVE", na: bool = True, multi_line: bool = False, key_fn: Callable[[str], str] | None = None) -> DataFrame:
-    """Text by separator, types by inference where parser has none. A first pass takes the header and the separator from the first lines, a second the types; only then are rows parsed.
+    """Text by separator, types by inference where parser has none. A first pass takes the header and the separator from the first lines, a second the number of columns of all rows, a third the types; only then are rows parsed.
 
     parser: a type for all columns, or types, (type, pattern) pairs by column. bad_rows: PERMISSIVE, DROPMALFORMED or FAILFAST.
+    skip_rows and the header count in each file. Columns beyond the header's are named by their place. With multi_line, where a
+    line need not be a row, the first lines settle the columns and skip_rows is an error.
     """
+    if multi_line and skip_rows:
+        raise ValueError("skip_rows counts lines, which rows of multi_line are not")
     lines = [r.value for r in spark.read.text(path).limit(skip_rows + 50).collect()]
     lines = [x for x in lines[skip_rows:] if x.strip() and not (comment and x.startswith(comment))]
     if not lines:
@@ -53,22 +82,22 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: boo
     import csv
 
     first = next(csv.reader([lines[0]], delimiter=sep))
-    width = max([len(first), *(len(r) for r in csv.reader(lines[: 1 if header else None], delimiter=sep))])
-    labels = unique_names(first) if header else [f"column-{i}" for i in range(width)]
+    options = {"sep": sep, "header": "false", "mode": bad_rows, "maxColumns": str(MAX_COLUMNS), "maxCharsPerColumn": str(MAX_CHARS), "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "escape": '"'}
+    if multi_line:
+        width = max([len(first), *(len(r) for r in csv.reader(lines[: 1 if header else None], delimiter=sep))])
+    else:
+        text = _data_lines(spark, path, skip_rows, header, comment)
+        width = max(len(first), _fields(text, sep))
+    labels = unique_names([*first, *[None] * (width - len(first))]) if header else [f"column-{i}" for i in range(width)]
     schema = T.StructType([T.StructField(x, T.StringType()) for x in labels])
-    reader = spark.read.schema(schema).options(sep=sep, header="false", mode=bad_rows, multiLine=str(multi_line).lower(), maxColumns=MAX_COLUMNS, maxCharsPerColumn=MAX_CHARS, ignoreLeadingWhiteSpace="true", ignoreTrailingWhiteSpace="true", escape='"')
-    if comment:
-        reader = reader.option("comment", comment)
-    if skip_rows and not multi_line:
-        text = spark.read.text(path).withColumn("__i", F.monotonically_increasing_id()).where(F.col("__i") >= skip_rows).select("value")
-        rows = reader.csv(text.rdd.map(lambda r: r.value))
+    if multi_line:
+        reader = spark.read.schema(schema).options(**options | {"header": str(header).lower(), "multiLine": "true"})
+        rows = (reader.option("comment", comment) if comment else reader).csv(path)
     else:
-        rows = reader.csv(path)
-    if header:
-        same = F.lit(True)
-        for f, x in zip(labels, first):
-            same = same & F.coalesce(F.trim(F.regexp_replace(c(f), "^﻿", "")), F.lit("")).eqNullSafe(F.lit(x.strip().lstrip("﻿")))
-        rows = rows.where(~same)
+        rows = text.select(F.from_csv("value", ", ".join(f"`{x.replace('`', '``')}` string" for x in labels), {k: v for k, v in options.items() if k not in ("header", "mode")} | {"mode": "PERMISSIVE" if bad_rows == "DROPMALFORMED" else bad_rows}).alias("r"), "value")
+        if bad_rows == "DROPMALFORMED":
+            rows = rows.where(_count(F.col("value"), sep) == width)
+        rows = rows.select("r.*")
     keep = [x for x in (columns or labels) if x in labels and x not in set(block)]
     rows = rows.select(*[c(x) for x in keep])
     if n_rows is not None:
