@@ -30,12 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, a folder of our own (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and Spark runs in one process (tests), a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="weftline-")
         spark.sparkContext.setCheckpointDir(base)
     elif spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
