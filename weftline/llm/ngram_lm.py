@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import buffers, checkpoint, mix, new_folder, raw, slices, space_words
+from weftline.llm.common import buffers, checkpoint, mix, new_folder, raw, release, slices, space_words
 from weftline.llm.hash_store import mapped, put
 
 #: Words of an n-gram.
@@ -51,10 +51,27 @@ def contexts(toks: np.ndarray, n: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
+def _coded(col: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
+    """A column in which words recur: its distinct hashes, the most frequent first, and their numbers, compressed byte by byte of a number."""
+    own, at, n = np.unique(col, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(own), "<u4")
+    rank[order] = np.arange(len(own), dtype="<u4")
+    planes = rank[at].view(np.uint8).reshape(-1, 4).T
+    return struct.pack("<I", len(own)) + own[order].astype("<u8").tobytes() + press.compress(planes.tobytes())
+
+
+def _decoded(part: bytes) -> np.ndarray:
+    (n,) = struct.unpack_from("<I", part)
+    own = np.frombuffer(part, "<u8", n, 4)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(part[4 + 8 * n :]), np.uint8).reshape(4, -1)
+    return own[np.ascontiguousarray(planes.T).view("<u4").ravel()]
+
+
 def pack(cols: list[np.ndarray], small: list[np.ndarray]) -> bytes:
-    """Hashes as they are, small numbers compressed."""
+    """The first column's hashes as they are, others coded by their distinct ones, small numbers compressed."""
     press = zstandard.ZstdCompressor(level=1)
-    parts = [c.astype("<u8").tobytes() for c in cols] + [press.compress(c.astype("<u4").tobytes()) for c in small]
+    parts = [cols[0].astype("<u8").tobytes(), *(_coded(c, press) for c in cols[1:])] + [press.compress(c.astype("<u4").tobytes()) for c in small]
     return struct.pack(f"<II{len(parts)}I", len(cols), len(parts), *map(len, parts)) + b"".join(parts)
 
 
@@ -64,7 +81,7 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     at, out = 8 + 4 * n, []
     for i, s in enumerate(sizes):
         part = blob[at : at + s]
-        out.append(np.frombuffer(part, "<u8") if i < n_cols else np.frombuffer(zstandard.ZstdDecompressor().decompress(part), "<u4").astype(np.int64))
+        out.append(np.frombuffer(part, "<u8") if i == 0 else _decoded(part) if i < n_cols else np.frombuffer(zstandard.ZstdDecompressor().decompress(part), "<u4").astype(np.int64))
         at += s
     return out
 
@@ -268,9 +285,12 @@ def train(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> Model:
     discounts, rows = {}, given.mapInArrow(grams, SCHEMA)
     low = [0] * 7
     for level in range(order, 0, -1):
-        rows = checkpoint(dealt(rows).mapInArrow(sort_shards(level, bits, folder), SCHEMA))
+        above, rows = rows, checkpoint(dealt(rows).mapInArrow(sort_shards(level, bits, folder), SCHEMA))
+        if level < order:
+            release(above)
         low = _stats(rows)
         discounts[level] = discount(*low[1:5])
+    release(rows)
     left = sum(d * n for d, n in zip(discounts[1], (low[1], low[2], low[6]))) / low[5] if low[5] else 1.0
     return Model(folder, bits, order, types[5], types[0], discounts, low[5], left)
 
