@@ -23,6 +23,8 @@ from weftline.llm.hash_store import mapped, put
 #: Words of an n-gram.
 ORDER = 3
 BOS, END, EMPTY = np.uint64(0x5C3D91F0A7B24E61), np.uint64(0xE19A40C2D8673BF5), np.uint64(0x1F83D9ABFB41BD6B)
+#: What stands for the start's hash among the ids of words.
+START = np.uint64(1 << 63)
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -51,61 +53,97 @@ def contexts(toks: np.ndarray, n: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def _coded(col: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
-    """A column in which words recur: its distinct hashes, the most frequent first, and their numbers, compressed byte by byte of a number."""
-    own, at, n = np.unique(col, return_inverse=True, return_counts=True)
-    order = np.argsort(-n, kind="stable")
-    rank = np.empty(len(own), "<u4")
-    rank[order] = np.arange(len(own), dtype="<u4")
-    planes = rank[at].view(np.uint8).reshape(-1, 4).T
-    return struct.pack("<I", len(own)) + own[order].astype("<u8").tobytes() + press.compress(planes.tobytes())
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers, byte by byte of a number, so that what is alike stands together."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
+
+
+def _numbers(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _decoded(part: bytes) -> np.ndarray:
-    (n,) = struct.unpack_from("<I", part)
-    own = np.frombuffer(part, "<u8", n, 4)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(part[4 + 8 * n :]), np.uint8).reshape(4, -1)
-    return own[np.ascontiguousarray(planes.T).view("<u4").ravel()]
+def _by_count(n: np.ndarray) -> np.ndarray:
+    """Places of a blob's words in the order in which the columns number them: the most frequent first."""
+    return np.argsort(-n.astype(np.int64), kind="stable")
 
 
 def pack(cols: list[np.ndarray], small: list[np.ndarray]) -> bytes:
-    """The first column's hashes as they are, others coded by their distinct ones, small numbers compressed."""
+    """Columns of word ids, sorted, by the numbers of the blob's words; these by their distances; and columns of small numbers. All compressed."""
+    own, at, n = np.unique(np.concatenate(cols), return_inverse=True, return_counts=True)
+    rank = np.empty(len(own), "<u4")
+    rank[_by_count(n)] = np.arange(len(own), dtype="<u4")
+    of = rank[at].reshape(len(cols), -1)
+    order = np.lexsort(of[::-1])
+    of, small = of[:, order], [x[order] for x in small]
+    of[0] = np.diff(of[0], prepend=of[0][:1] * 0)
     press = zstandard.ZstdCompressor(level=1)
-    parts = [cols[0].astype("<u8").tobytes(), *(_coded(c, press) for c in cols[1:])] + [press.compress(c.astype("<u4").tobytes()) for c in small]
+    numbers = [np.diff(own, prepend=own[:1] * 0).astype("<u8"), n.astype("<u4"), *(x.astype("<u4") for x in (*of, *small))]
+    parts = [press.compress(_planes(x)) for x in numbers]
     return struct.pack(f"<II{len(parts)}I", len(cols), len(parts), *map(len, parts)) + b"".join(parts)
 
 
-def unpack(blob: bytes) -> list[np.ndarray]:
+def unpack(blob: bytes) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """The blob's words, most frequent first, columns of their numbers, and columns of small numbers."""
     n_cols, n = struct.unpack_from("<II", blob)
     sizes = struct.unpack_from(f"<{n}I", blob, 8)
-    at, out = 8 + 4 * n, []
+    at, parts = 8 + 4 * n, []
     for i, s in enumerate(sizes):
-        part = blob[at : at + s]
-        out.append(np.frombuffer(part, "<u8") if i == 0 else _decoded(part) if i < n_cols else np.frombuffer(zstandard.ZstdDecompressor().decompress(part), "<u4").astype(np.int64))
+        parts.append(_numbers(blob[at : at + s], "<u4" if i else "<u8"))
         at += s
+    own, count, cols, small = np.cumsum(parts[0], dtype=np.uint64), parts[1], parts[2 : 2 + n_cols], parts[2 + n_cols :]
+    cols[0] = np.cumsum(cols[0], dtype=np.uint32)
+    return own[_by_count(count)], cols, [x.astype(np.int64) for x in small]
+
+
+def _by_shard(shard: np.ndarray):
+    at = np.flatnonzero(np.diff(shard, prepend=-1))
+    return zip(shard[at].tolist(), at, [*at[1:], len(shard)])
+
+
+def word_ids(folder: str, bits: int, words: np.ndarray) -> np.ndarray:
+    """Ids of sorted distinct word hashes: their shard and place among the words' own counts."""
+    out = np.zeros(len(words), np.uint64)
+    for s, lo, hi in _by_shard((words >> np.uint64(64 - bits)).astype(np.int64)):
+        held = mapped(f"{folder}/0/{s:07d}.gram", "<u8")
+        place = np.searchsorted(held, words[lo:hi])
+        if len(held) == 0 or (held[np.minimum(place, len(held) - 1)] != words[lo:hi]).any():
+            raise RuntimeError("a text changed between two passes over it")
+        out[lo:hi] = np.uint64(s << 32) | place.astype(np.uint64)
+    return out
+
+
+def id_words(folder: str, ids: np.ndarray) -> np.ndarray:
+    """Word hashes of sorted distinct ids."""
+    out = np.full(len(ids), BOS)
+    known = ids[: np.searchsorted(ids, START)]
+    for s, lo, hi in _by_shard((known >> np.uint64(32)).astype(np.int64)):
+        out[lo:hi] = mapped(f"{folder}/0/{s:07d}.gram", "<u8")[(known[lo:hi] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
     return out
 
 
-def shipped(level: int, bits: int, ctx: list[np.ndarray], word: np.ndarray, lead: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-    """Packed counts of n-grams by shard: contexts of level - 1, level - 2, ... words, the word, leading starts and counts."""
-    by = ctx[0] if level > 1 else word
+SCHEMA = "shard bigint, blob binary, stats array<bigint>"
+
+
+def _row(shard: list[int], blob: list[bytes | None], stats: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(blob, pa.binary()), pa.array(stats, pa.list_(pa.int64()))], ["shard", "blob", "stats"])
+
+
+def shipped(bits: int, by: np.ndarray, cols: list[np.ndarray], small: list[np.ndarray]) -> pa.RecordBatch:
+    """Packed counts of n-grams by shard, which the hash of their context gives: their words' ids, leading starts and counts."""
     order = np.argsort(by, kind="stable")
-    shard = (by[order] >> np.uint64(64 - bits)).astype(np.int64)
-    at = np.flatnonzero(np.diff(shard, prepend=-1))
     shards, blobs = [], []
-    for lo, hi in zip(at, [*at[1:], len(shard)]):
+    for s, lo, hi in _by_shard((by[order] >> np.uint64(64 - bits)).astype(np.int64)):
         o = order[lo:hi]
-        if level > 1:
-            head = np.flatnonzero(np.diff(ctx[0][o], prepend=~ctx[0][o[:1]]) != 0)
-            cols, small = [ctx[0][o][head], *(c[o] for c in ctx[1:]), word[o]], [np.diff(head, append=hi - lo), lead[o], count[o]]
-        else:
-            cols, small = [word[o]], [lead[o], count[o]]
-        shards.append(int(shard[lo]))
-        blobs.append(pack(cols, small))
-    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(blobs, pa.binary()), pa.array([None] * len(shards), pa.list_(pa.int64()))], ["shard", "blob", "stats"])
+        shards.append(s)
+        blobs.append(pack([c[o] for c in cols], [x[o] for x in small]))
+    return _row(shards, blobs, [None] * len(shards))
 
 
-SCHEMA = "shard bigint, blob binary, stats array<bigint>"
+def shipped_words(bits: int, words: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    """Counts of sorted distinct words by shard, each shard's hashes before its counts."""
+    rows = [(s, words[lo:hi].astype("<u8").tobytes() + count[lo:hi].astype("<u4").tobytes()) for s, lo, hi in _by_shard((words >> np.uint64(64 - bits)).astype(np.int64))]
+    return _row([s for s, _ in rows], [b for _, b in rows], [None] * len(rows))
 
 
 def merged(keys: np.ndarray, cols: list[np.ndarray], count: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -116,47 +154,87 @@ def merged(keys: np.ndarray, cols: list[np.ndarray], count: np.ndarray) -> tuple
     return keys[first], [c[order][first] for c in cols], np.add.reduceat(count[order], first)
 
 
+def chain(words: list[np.ndarray]) -> np.ndarray:
+    """The hash of a row of words."""
+    h = np.full(len(words[0]) if words else 1, EMPTY)
+    for w in words:
+        h = extend(h, w)
+    return h
+
+
+def _held(batches) -> dict[int, list[bytes]]:
+    held = defaultdict(list)
+    for b in batches:
+        for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            held[s].append(x)
+    return held
+
+
+def put_counts(at: str, keys: np.ndarray, count: np.ndarray) -> list[int]:
+    """Writes sorted keys and counts, a byte each, larger ones beside them; what discounts need of them."""
+    big = np.flatnonzero(count >= 255)
+    put(f"{at}.gram", keys.astype("<u8").tobytes())
+    put(f"{at}.count", np.minimum(count, 255).astype("u1").tobytes())
+    if len(big):
+        put(f"{at}.big", np.stack([big, count[big]], 1).astype("<i8").tobytes())
+    return [len(keys), *(int((count == k).sum()) for k in (1, 2, 3, 4)), int(count.sum()), int((count >= 3).sum())]
+
+
+def put_sums(at: str, ctx: np.ndarray, count: np.ndarray) -> None:
+    """Writes sorted contexts and their sums, a byte each, rows with a larger one beside them."""
+    by = np.argsort(ctx, kind="stable")
+    c, k = ctx[by], count[by]
+    head = np.flatnonzero(np.diff(c, prepend=~c[:1]) != 0)
+    sums = np.stack([np.add.reduceat(x.astype(np.int64), head) for x in (k, k == 1, k == 2, k >= 3)], 1)
+    big = np.flatnonzero(sums[:, 0] >= 255)  # the sum of counts is the largest of a row
+    put(f"{at}.context", c[head].astype("<u8").tobytes())
+    put(f"{at}.sums", np.minimum(sums, 255).astype("u1").tobytes())
+    if len(big):
+        put(f"{at}.bigsums", np.concatenate([big[:, None], sums[big]], 1).astype("<i8").tobytes())
+
+
+def sort_words(bits: int, folder: str):
+    """The task that merges the words' own counts and writes their arrays."""
+
+    def run(batches):
+        held = _held(batches)
+        for s in sorted(held):
+            parts = [(x, len(x) // 12) for x in held.pop(s)]
+            words, count = (np.concatenate(c) for c in zip(*((np.frombuffer(x, "<u8", n), np.frombuffer(x, "<u4", n, 8 * n)) for x, n in parts)))
+            words, _, count = merged(words, [], count.astype(np.int64))
+            yield _row([s], [None], [put_counts(f"{folder}/0/{s:07d}", words, count)])
+
+    return run
+
+
 def sort_shards(level: int, bits: int, folder: str):
-    """The task that merges a level's packed counts, writes the arrays and ships the level below. Level 0 has the words' own counts."""
+    """The task that merges a level's packed counts, writes the arrays and ships the level below."""
 
     def run(batches):
-        held = defaultdict(list)
-        for b in batches:
-            for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held[s].append(x)
+        held = _held(batches)
         for s in sorted(held):
-            parts = []
-            for x in held.pop(s):
-                p = unpack(x)
-                if level > 1:
-                    p = [np.repeat(p[0], p[level]), *p[1:level], *p[level + 1 :]]
-                parts.append(p)
-            cols = [np.concatenate(c) for c in zip(*parts)]
-            word, lead, count = cols[-3], cols[-2], cols[-1]
-            ctx = cols[:-3]
-            keys = extend(ctx[0], word) if level > 1 else word
-            keys, (*ctx, word, lead), count = merged(keys, [*ctx, word, lead], count)
+            parts = [unpack(x) for x in held.pop(s)]
+            ids = np.unique(np.concatenate([p[0] for p in parts]))
+            hashes, rows = id_words(folder, ids), []
+            for own, cols, (lead, count) in parts:
+                h = hashes[np.searchsorted(ids, own)]
+                w = [h[c] for c in cols]
+                ctx = chain(w[:-1])
+                low = chain(w[1:-1]) if level > 2 else w[-1]  # what deals out the level below
+                rows.append([extend(ctx, w[-1]) if level > 1 else w[-1], ctx if level > 1 else w[-1], low, extend(low, w[-1]) if level > 2 else w[-1], *(own[c] for c in cols[1:]), lead, count])
+            del parts
+            keys, *cols, count = (np.concatenate(c) for c in zip(*rows))
+            keys, (ctx, low, low_key, *own, lead), count = merged(keys, cols, count)
             at = f"{folder}/{level}/{s:07d}"
-            big = np.flatnonzero(count >= 255)
-            put(f"{at}.gram", keys.astype("<u8").tobytes())
-            put(f"{at}.count", np.minimum(count, 255).astype("u1").tobytes())
-            if len(big):
-                put(f"{at}.big", np.stack([big, count[big]], 1).astype("<i8").tobytes())
-            of = [int((count == k).sum()) for k in (1, 2, 3, 4)]
-            stats = [len(keys), *of, int(count.sum()), int((count >= 3).sum())]
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([None], pa.binary()), pa.array([stats], pa.list_(pa.int64()))], ["shard", "blob", "stats"])
+            stats = put_counts(at, keys, count)
+            if level > 1:
+                put_sums(at, ctx, count)
+            yield _row([s], [None], [stats])
             if level > 1:
-                by = np.argsort(ctx[0], kind="stable")
-                c, k = ctx[0][by], count[by]
-                head = np.flatnonzero(np.diff(c, prepend=~c[:1]) != 0)
-                sums = [np.add.reduceat(x.astype(np.int64), head) for x in (k, k == 1, k == 2, k >= 3)]
-                put(f"{at}.context", c[head].astype("<u8").tobytes())
-                put(f"{at}.sums", np.stack(sums, 1).astype("<u4" if sums[0].max() < 1 << 32 else "<u8").tobytes())
                 # an n-gram counts once for the one below it, or as often as it stands if that begins a text
                 below = np.where(lead >= 2, count, 1)
-                low = [extend(ctx[1], word), ctx[1:]] if level > 2 else [word, []]
-                k2, (*ctx2, word2, lead2), count2 = merged(low[0], [*low[1], word, np.maximum(lead, 1) - 1], below)
-                yield shipped(level - 1, bits, ctx2, word2, lead2, count2)
+                _, (low, *own, lead), below = merged(low_key, [low, *own, np.maximum(lead, 1) - 1], below)
+                yield shipped(bits, low, own, [lead, below])
 
     return run
 
@@ -214,8 +292,11 @@ class Model:
             hit = lo + np.flatnonzero(there[lo:hi])
             if len(hit):
                 name = f"{self.folder}/{level}/{shard[lo]:07d}"
-                wide = len(mapped(f"{name}.sums", "u1")) // (4 * len(mapped(f"{name}.context", "<u8")))
-                out[order[hit]] = mapped(f"{name}.sums", f"<u{wide}").reshape(-1, 4)[place[hit]]
+                x = mapped(f"{name}.sums", "u1").reshape(-1, 4)[place[hit]].astype(np.int64)
+                if (big := np.flatnonzero(x[:, 0] == 255)).size:
+                    more = mapped(f"{name}.bigsums", "<i8").reshape(-1, 5)
+                    x[big] = more[np.searchsorted(more[:, 0], place[hit[big]]), 1:]
+                out[order[hit]] = x
         return out
 
     def _rest(self, level: int, count: np.ndarray) -> np.ndarray:
@@ -268,20 +349,21 @@ def train(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> Model:
         for b in batches:
             for part in slices(b, 8 << 20):
                 toks, _ = tokens(*buffers(part.column("__text")))
-                w, c = np.unique(toks, return_counts=True)
-                yield shipped(1, bits, [], w, np.zeros(len(w), np.int64), c)
+                yield shipped_words(bits, *np.unique(toks, return_counts=True))
 
     def grams(batches):
         for b in batches:
             for part in slices(b, 16 << 20):
                 toks, n = tokens(*buffers(part.column("__text")))
-                ctx = contexts(toks, n, order)[:0:-1]
                 place = np.arange(len(toks)) - np.repeat(np.cumsum(n) - n, n)
-                key = extend(ctx[0], toks) if order > 1 else toks
-                _, where, c = np.unique(key, return_index=True, return_counts=True)
-                yield shipped(order, bits, [x[where] for x in ctx], toks[where], np.maximum(order - 1 - place[where], 0), c)
-
-    types = _stats(dealt(given.mapInArrow(words, SCHEMA)).mapInArrow(sort_shards(0, bits, folder), SCHEMA))
+                ctx = contexts(toks, n, order)[-1]
+                _, where, c = np.unique(extend(ctx, toks) if order > 1 else toks, return_index=True, return_counts=True)
+                own, at = np.unique(toks, return_inverse=True)
+                ids = word_ids(folder, bits, own)[at]
+                cols = [np.where(place[where] >= back, ids[where - back], START) for back in range(order - 1, -1, -1)]
+                yield shipped(bits, (ctx if order > 1 else toks)[where], cols, [np.maximum(order - 1 - place[where], 0), c])
+
+    types = _stats(dealt(given.mapInArrow(words, SCHEMA)).mapInArrow(sort_words(bits, folder), SCHEMA))
     discounts, rows = {}, given.mapInArrow(grams, SCHEMA)
     low = [0] * 7
     for level in range(order, 0, -1):
