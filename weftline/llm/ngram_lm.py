@@ -25,6 +25,8 @@ ORDER = 3
 BOS, END, EMPTY = np.uint64(0x5C3D91F0A7B24E61), np.uint64(0xE19A40C2D8673BF5), np.uint64(0x1F83D9ABFB41BD6B)
 #: What stands for the start's hash among the ids of words.
 START = np.uint64(1 << 63)
+#: A context's place and sums.
+ROW = np.dtype([("at", "<u4"), ("sums", "u1", 4)])
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -171,28 +173,57 @@ def _held(batches) -> dict[int, list[bytes]]:
 
 
 def put_counts(at: str, keys: np.ndarray, count: np.ndarray) -> list[int]:
-    """Writes sorted keys and counts, a byte each, larger ones beside them; what discounts need of them."""
-    big = np.flatnonzero(count >= 255)
+    """Writes sorted keys and counts, half a byte each, larger ones beside them; what discounts need of them."""
+    big = np.flatnonzero(count >= 15)
+    small = np.minimum(np.append(count, [0] * (len(count) % 2)), 15).astype("u1")
     put(f"{at}.gram", keys.astype("<u8").tobytes())
-    put(f"{at}.count", np.minimum(count, 255).astype("u1").tobytes())
+    put(f"{at}.count", (small[::2] | small[1::2] << 4).tobytes())
     if len(big):
         put(f"{at}.big", np.stack([big, count[big]], 1).astype("<i8").tobytes())
     return [len(keys), *(int((count == k).sum()) for k in (1, 2, 3, 4)), int(count.sum()), int((count >= 3).sum())]
 
 
 def put_sums(at: str, ctx: np.ndarray, count: np.ndarray) -> None:
-    """Writes sorted contexts and their sums, a byte each, rows with a larger one beside them."""
+    """Writes sorted contexts and a byte for each: how many words follow once and twice, if no more tell its sums; other sums in rows beside them."""
     by = np.argsort(ctx, kind="stable")
     c, k = ctx[by], count[by]
     head = np.flatnonzero(np.diff(c, prepend=~c[:1]) != 0)
     sums = np.stack([np.add.reduceat(x.astype(np.int64), head) for x in (k, k == 1, k == 2, k >= 3)], 1)
+    brief = (sums[:, 3] == 0) & (sums[:, 1] < 16) & (sums[:, 2] < 15)
+    some = np.flatnonzero(~brief)
     big = np.flatnonzero(sums[:, 0] >= 255)  # the sum of counts is the largest of a row
+    rows = np.zeros(len(some), ROW)
+    rows["at"], rows["sums"] = some, np.minimum(sums[some], 255)
     put(f"{at}.context", c[head].astype("<u8").tobytes())
-    put(f"{at}.sums", np.minimum(sums, 255).astype("u1").tobytes())
+    put(f"{at}.brief", np.where(brief, sums[:, 1] + 16 * sums[:, 2], 255).astype("u1").tobytes())
+    if len(some):
+        put(f"{at}.sums", rows.tobytes())
     if len(big):
         put(f"{at}.bigsums", np.concatenate([big[:, None], sums[big]], 1).astype("<i8").tobytes())
 
 
+def read_counts(at: str, place: np.ndarray) -> np.ndarray:
+    """Counts at these places of a shard."""
+    out = (mapped(f"{at}.count", "u1")[place >> 1] >> (4 * (place & 1)).astype("u1") & 15).astype(np.int64)
+    if (big := np.flatnonzero(out == 15)).size:
+        more = mapped(f"{at}.big", "<i8").reshape(-1, 2)
+        out[big] = more[np.searchsorted(more[:, 0], place[big]), 1]
+    return out
+
+
+def read_sums(at: str, place: np.ndarray) -> np.ndarray:
+    """Rows of sums at these places of a shard's contexts."""
+    x = mapped(f"{at}.brief", "u1")[place].astype(np.int64)
+    out = np.stack([(x & 15) + 2 * (x >> 4), x & 15, x >> 4, np.zeros_like(x)], 1)
+    if (some := np.flatnonzero(x == 255)).size:
+        rows = mapped(f"{at}.sums", ROW)
+        out[some] = rows["sums"][np.searchsorted(rows["at"], place[some].astype("<u4"))]
+    if (big := np.flatnonzero((x == 255) & (out[:, 0] == 255))).size:
+        more = mapped(f"{at}.bigsums", "<i8").reshape(-1, 5)
+        out[big] = more[np.searchsorted(more[:, 0], place[big]), 1:]
+    return out
+
+
 def sort_words(bits: int, folder: str):
     """The task that merges the words' own counts and writes their arrays."""
 
@@ -274,12 +305,7 @@ class Model:
             hit = lo + np.flatnonzero(there[lo:hi])
             if not len(hit):
                 continue
-            name = f"{self.folder}/{level}/{shard[lo]:07d}"
-            c = mapped(f"{name}.count", "u1")[place[hit]].astype(np.int64)
-            if (big := np.flatnonzero(c == 255)).size:
-                more = mapped(f"{name}.big", "<i8").reshape(-1, 2)
-                c[big] = more[np.searchsorted(more[:, 0], place[hit[big]]), 1]
-            out[order[hit]] = c
+            out[order[hit]] = read_counts(f"{self.folder}/{level}/{shard[lo]:07d}", place[hit])
         return out
 
     def sums(self, level: int, ctx: np.ndarray) -> np.ndarray:
@@ -291,12 +317,7 @@ class Model:
         for lo, hi in zip(at, [*at[1:], len(ctx)]):
             hit = lo + np.flatnonzero(there[lo:hi])
             if len(hit):
-                name = f"{self.folder}/{level}/{shard[lo]:07d}"
-                x = mapped(f"{name}.sums", "u1").reshape(-1, 4)[place[hit]].astype(np.int64)
-                if (big := np.flatnonzero(x[:, 0] == 255)).size:
-                    more = mapped(f"{name}.bigsums", "<i8").reshape(-1, 5)
-                    x[big] = more[np.searchsorted(more[:, 0], place[hit[big]]), 1:]
-                out[order[hit]] = x
+                out[order[hit]] = read_sums(f"{self.folder}/{level}/{shard[lo]:07d}", place[hit])
         return out
 
     def _rest(self, level: int, count: np.ndarray) -> np.ndarray:
@@ -363,7 +384,9 @@ def train(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> Model:
                 cols = [np.where(place[where] >= back, ids[where - back], START) for back in range(order - 1, -1, -1)]
                 yield shipped(bits, (ctx if order > 1 else toks)[where], cols, [np.maximum(order - 1 - place[where], 0), c])
 
-    types = _stats(dealt(given.mapInArrow(words, SCHEMA)).mapInArrow(sort_words(bits, folder), SCHEMA))
+    own = checkpoint(dealt(given.mapInArrow(words, SCHEMA)).mapInArrow(sort_words(bits, folder), SCHEMA))
+    types = _stats(own)
+    release(own)
     discounts, rows = {}, given.mapInArrow(grams, SCHEMA)
     low = [0] * 7
     for level in range(order, 0, -1):
