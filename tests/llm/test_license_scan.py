@@ -1,3 +1,4 @@
+import random
 import re
 
 from weftline.llm import license_scan as L
@@ -37,3 +38,21 @@ def test_compound_expressions():
     assert labels("// SPDX-License-Identifier: MIT OR Apache-2.0") == {"mit", "apache"}
     assert labels("// SPDX-License-Identifier: (ISC AND (Zlib OR MIT))") == {"isc", "zlib", "mit"}
     assert labels("// SPDX-License-Identifier: MIT\nor Apache-like") == {"mit"}
+
+
+def test_blanks_beside_dashes():
+    labels = lambda x: {d.label for d in L.detect(x)}
+    assert labels("under cc  by\n4.0") == labels("under cc-by 4.0") == {"cc-by"}
+    assert labels("cc+by 4.0") == set() and labels("cc by -nc") == labels("cc by")
+
+
+def test_suppression_of_many():
+    rng = random.Random(3)
+    d = [L.Detection(a, a + rng.randint(1, 40), rng.choice("ab"), rng.choice((10, 20, 30)), 0.5) for a in rng.choices(range(400), k=300)]
+    kept = []
+    for x in sorted(set(d), key=lambda x: (-x.priority, x.start - x.end, x.start, x.label)):
+        if not any(k.start <= x.start and x.end <= k.end for k in kept):
+            kept.append(x)
+    assert L.suppress(d) == sorted(kept, key=lambda x: (x.start, x.end, x.label)) and len(kept) < len(d)
+    long = L.suppress([L.Detection(20 * i, 20 * i + 11, "mit", 10, 0.7) for i in range(200_000)])
+    assert len(long) == 200_000

@@ -8,6 +8,7 @@ lower priority goes.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -127,10 +128,15 @@ def grant_key(pattern: str) -> str:
     return max(re.split(r"[^a-z ]", plain), key=len).strip()
 
 
+def blanks(pattern: str) -> str:
+    """A rule's pattern with any white space for a blank, which in a class is one of its choices."""
+    return pattern.replace("[- ]", r"(?:-|\s+)").replace(" ", r"\s+")
+
+
 @lru_cache(maxsize=1)
 def _compiled() -> tuple[ahocorasick.Automaton, list[tuple[Rule, re.Pattern]], dict[str, list[int]]]:
     by_key: dict[str, list[int]] = {}
-    made = [(r, re.compile(r.pattern.replace(" ", r"\s+"))) for r in rules()]  # a blank of a rule is any white space
+    made = [(r, re.compile(blanks(r.pattern))) for r in rules()]
     for i, (r, _) in enumerate(made):
         for key in r.keyword.split("|"):
             by_key.setdefault(key, []).append(i)
@@ -155,10 +161,20 @@ def detect(lowered: str) -> list[Detection]:
 def suppress(found: list[Detection]) -> list[Detection]:
     """Leaves out each detection that lies inside another of higher priority, or of the same and longer, or the same place and earlier by label."""
     order = sorted(set(found), key=lambda d: (-d.priority, d.start - d.end, d.start, d.label))
+    starts = sorted({d.start for d in order})
+    furthest = [-1] * (len(starts) + 1)  # a Fenwick tree: the largest end of kept ones by their start
     kept: list[Detection] = []
     for d in order:
-        if not any(k.start <= d.start and d.end <= k.end for k in kept):
-            kept.append(d)
+        place = bisect_left(starts, d.start) + 1
+        i, end = place, -1
+        while i:
+            end, i = max(end, furthest[i]), i & (i - 1)
+        if end >= d.end:
+            continue
+        kept.append(d)
+        while place < len(furthest):
+            furthest[place] = max(furthest[place], d.end)
+            place += place & -place
     return sorted(kept, key=lambda d: (d.start, d.end, d.label))
 
 
