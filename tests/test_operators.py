@@ -76,6 +76,46 @@ def test_rolling_variable_and_ties(spark):
     assert col(got, "s", "i") == [7.0, 6.0, 4.0]
 
 
+@pytest.mark.parametrize("position", ["right", "left", "center"])
+def test_rolling_variable_blocks(spark, monkeypatch, position):
+    rows = [(i, (i * 7) % 60 if i % 11 else None, float(i * i % 17) if i % 5 else None) for i in range(200)]
+    df = frame(spark, "i int, t int, v double", *rows)
+    made = {k: getattr(rolling, k)("v") for k in ("sum", "mean", "min", "max", "variance", "first", "last")} | {"nth": rolling.nth("v", 2)}
+    want = []
+    lo, hi = {"right": (0, 5), "left": (-5, 0), "center": (-3, 2)}[position]
+    for i, t, _ in rows:
+        hit = sorted((u, j, v) for j, u, v in rows if t is not None and u is not None and t + lo <= u <= t + hi and (position == "center" or (u, j) == (t, i) or ((u, j) > (t, i)) == (position == "right")))
+        at, v = [x for *_, x in hit], pd.Series([x for *_, x in hit if x is not None], dtype=float)
+        some = len(v) > 0
+        want.append((v.sum() if some else None, v.mean() if some else None, v.min() if some else None, v.max() if some else None, v.var() if len(v) > 1 else None, at[0] if at else None, at[-1] if at else None, at[2] if len(at) > 2 else None))
+    monkeypatch.setattr(rolling, "BLOCK_ROWS", 30)
+    for by in ((), "g"):
+        got = rolling.rolling(df.withColumn("g", F.lit(1)), {"column": "t", "size": 6}, made, ["t", "i"], position, partition_by=by).orderBy("i").collect()
+        assert [r.i for r in got] == list(range(200))
+        for r, x in zip(got, want):
+            assert tuple(r[k] for k in made) == pytest.approx(x, abs=1e-9)
+
+
+def test_variances_of_large_values(spark):
+    df = spark.range(30).select("id", (F.col("id") % 3 + 1e9).alias("v"), F.lit(1).alias("g"))
+    sd = {"s": rolling.variance("v")}
+    plain = pd.Series([i % 3 + 1e9 for i in range(30)])
+    for got in (rolling.expanding(df, sd, "id", block_rows=7), rolling.expanding(df, sd, "id", "g")):
+        assert col(got, "s", "id")[1:] == pytest.approx([plain[: i + 1].var() for i in range(1, 30)], abs=1e-6)
+    got = col(rolling.rolling(df, 3, sd, "id", "left"), "s", "id")
+    assert got[2:] == pytest.approx([1.0] * 28, abs=1e-6) and got[0] == pytest.approx(0.0, abs=1e-6)
+
+
+def test_many_cuts(spark, monkeypatch):
+    cuts = [F.lit(3 * i) for i in range(1, 12)]
+    df = spark.range(40)
+    tree = df.select(order.cut_number(F.col("id"), cuts).alias("n")).collect()
+    monkeypatch.setattr(order, "TREE", 3)
+    assert df.select(order.cut_number(F.col("id"), cuts).alias("n")).collect() == tree
+    ids = order.with_row_ids(spark.range(500).select((F.col("id") * 37 % 500).alias("x")), "x", "n", 20)
+    assert all(r.x == r.n for r in ids.collect())
+
+
 def test_expanding_blocks(spark):
     df = spark.range(40).select("id", F.when(F.col("id") % 5 == 0, None).otherwise(F.col("id") * 1.0).alias("v"))
     reducers = {"s": rolling.sum("v"), "m": rolling.mean("v"), "lo": rolling.min("v"), "hi": rolling.max("v"), "sd": rolling.standard_deviation("v"), "f": rolling.first("v")}

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.plans.order import BLOCK, ROW_ID, Order, c, in_blocks, names, with_row_ids
+from weftline.plans.order import BLOCK, ROW_ID, Order, c, cut_number, in_blocks, names, with_row_ids
 
 BLOCK_ROWS = 1_000_000
 
@@ -105,8 +105,10 @@ def _fixed(r: Reducer, v: Column, frame, over, lo: int, hi: int, before: Column,
     if r.kind == "mean":
         return total / F.nullif(n, F.lit(0))
     if r.kind in ("variance", "standard_deviation"):
-        squares = F.coalesce(F.sum(d * d).over(frame), F.lit(0.0)) + edge(lambda x: x * x)
-        var = F.greatest(squares - total * total / F.nullif(n, F.lit(0)), F.lit(0.0)) / F.nullif(n - 1, F.lit(0))
+        m = total / F.nullif(n, F.lit(0))
+        inside = F.count(v).over(frame)
+        apart = inside * F.coalesce(F.var_pop(d).over(frame) + (F.avg(d).over(frame) - m) * (F.avg(d).over(frame) - m), F.lit(0.0)) + edge(lambda x: (x - m) * (x - m))
+        var = F.when(n > 1, apart / (n - 1))
         return var if r.kind == "variance" else F.sqrt(var)
     if r.kind in ("min", "max"):
         pick, both = (F.min, F.least) if r.kind == "min" else (F.max, F.greatest)
@@ -133,42 +135,62 @@ def _variable(df: DataFrame, column: str, size: float, reducers: Mapping[str, Re
     at = F.struct(*[c(o) for o in order])
     base = df.withColumns({"__k": key, "__at": at})
     if parts:
-        over, own = Window.partitionBy(*parts), None
+        own = None
     else:
-        ends = base.agg(F.min("__k").alias("a"), F.max("__k").alias("b"), F.count(F.lit(1)).alias("n")).first()
-        blocks = ends["n"] // BLOCK_ROWS + 1 if ends["n"] else 1
-        width = ((ends["b"] - ends["a"]) // blocks + 1) if ends["n"] else 1
-        width = width if width > reach else reach
-        cell = lambda x: F.floor((x - (ends["a"] or 0)) / width)
-        base = base.withColumn("__b", F.explode(F.sequence(cell(F.col("__k") - hi), cell(F.col("__k") - lo))))
-        over, own = Window.partitionBy("__b"), F.col("__b") == cell(F.col("__k"))
-    frame = over.orderBy("__k").rangeBetween(lo, hi)
-    made = {}
-    for out, r in reducers.items():
-        slots = F.array_sort(F.collect_list(F.struct("__k", "__at", _clean(df, r.column).alias("v"))).over(frame))
-        # of rows at its own place a window holds those from its own row on, in its direction
-        side = {
-            "right": lambda s: (s["__k"] > F.col("__k")) | (s["__at"] >= F.col("__at")),
-            "left": lambda s: (s["__k"] < F.col("__k")) | (s["__at"] <= F.col("__at")),
-            "center": lambda s: F.lit(True),
-        }[position]
-        made[out] = _of(r, F.transform(F.filter(slots, side), lambda s: s["v"]))
+        count = base.where("__k IS NOT NULL").count()
+        blocks = count // BLOCK_ROWS + 1
+        cuts = base.approxQuantile("__k", [i / blocks for i in range(1, blocks)], 0.1 / blocks) if blocks > 1 else []
+        cuts = sorted({int(x) for x in cuts})
+        cell = lambda x: F.when(x.isNotNull(), cut_number(x, [F.lit(v).cast("bigint") for v in cuts]))
+        # rows without a key see none, so that any block will do
+        alone = F.array((-1 - F.pmod(F.xxhash64("__at"), F.lit(blocks))).cast("int"))
+        base = base.withColumn("__b", F.explode(F.coalesce(F.sequence(cell(F.col("__k") - hi), cell(F.col("__k") - lo)), alone)))
+        parts, own = [F.col("__b")], (F.col("__b") == cell(F.col("__k"))) | F.col("__k").isNull()
+    # of rows at its own place a window holds those from its own row on, in its direction
+    by_key, ties = Window.partitionBy(*parts).orderBy("__k"), Window.partitionBy(*parts, "__k").orderBy("__at")
+    near, far = {
+        "right": (ties.rangeBetween(Window.currentRow, Window.unboundedFollowing), by_key.rangeBetween(1, hi)),
+        "left": (ties.rangeBetween(Window.unboundedPreceding, Window.currentRow), by_key.rangeBetween(lo, -1)),
+        "center": (by_key.rangeBetween(lo, hi), None),
+    }[position]
+    far = None if reach < 2 else far
+    made = {out: F.when(F.col("__k").isNotNull(), _of(r, _clean(df, r.column), near, far)) for out, r in reducers.items()}
     done = base.withColumns(made)
     return (done if own is None else done.where(own)).select(*[c(x) for x in kept], *[c(x) for x in made])
 
 
-def _of(r: Reducer, values: Column) -> Column:
-    full = F.filter(values, lambda v: v.isNotNull())
-    d = F.transform(full, lambda v: v.cast("double"))
-    n = F.size(full)
-    total = F.aggregate(d, F.lit(0.0), lambda s, v: s + v)
+def _of(r: Reducer, v: Column, near, far) -> Column:
+    """A reducer over the rows of a frame, or of two that have no row in common."""
+    d = v.cast("double")
+    frames = [near] if far is None else [near, far]
+    joined = lambda f: [f(w) for w in frames]
+    if r.kind in ("min", "max"):
+        got = joined(lambda w: (F.min if r.kind == "min" else F.max)(v).over(w))
+        return got[0] if far is None else (F.least if r.kind == "min" else F.greatest)(*got)
+    if r.kind in ("first", "last", "nth"):
+        slot = F.struct("__k", "__at", v.alias("v"))
+        if r.kind == "nth":
+            lists = joined(lambda w: F.collect_list(slot).over(w))
+            return F.get(F.array_sort(F.concat(*lists)), F.lit(r.n))["v"]
+        pick, both = (F.min, F.least) if r.kind == "first" else (F.max, F.greatest)
+        got = joined(lambda w: pick(slot).over(w))
+        return (got[0] if far is None else both(*got))["v"]
+    n = adder(*joined(lambda w: F.count(v).over(w)))
+    total = adder(*joined(lambda w: F.coalesce(F.sum(d).over(w), F.lit(0.0))))
     m = total / F.nullif(n, F.lit(0))
-    var = F.aggregate(F.transform(d, lambda v: (v - m) * (v - m)), F.lit(0.0), lambda s, v: s + v) / F.nullif(n - 1, F.lit(0))
-    return {
-        "sum": lambda: F.when(n > 0, total), "mean": lambda: m, "min": lambda: F.array_min(full), "max": lambda: F.array_max(full),
-        "variance": lambda: var, "standard_deviation": lambda: F.sqrt(var), "first": lambda: F.get(values, F.lit(0)),
-        "last": lambda: F.get(values, F.size(values) - 1), "nth": lambda: F.get(values, F.lit(r.n)),
-    }[r.kind]()
+    if r.kind == "sum":
+        return F.when(n > 0, total)
+    if r.kind == "mean":
+        return m
+    apart = adder(*joined(lambda w: F.count(v).over(w) * F.coalesce(F.var_pop(d).over(w) + (F.avg(d).over(w) - m) * (F.avg(d).over(w) - m), F.lit(0.0))))
+    var = F.when(n > 1, apart / (n - 1))
+    return var if r.kind == "variance" else F.sqrt(var)
+
+
+def adder(first_: Column, *more: Column) -> Column:
+    for x in more:
+        first_ = first_ + x
+    return first_
 
 
 def expanding(df: DataFrame, reducers: Mapping[str, Reducer], order: Order, partition_by: Order = (), block_rows: int | None = None) -> DataFrame:
@@ -181,17 +203,26 @@ def expanding(df: DataFrame, reducers: Mapping[str, Reducer], order: Order, part
         base, over = in_blocks(df, order, block_rows), Window.partitionBy(BLOCK).orderBy(*by)
         groups = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     over = over.rowsBetween(Window.unboundedPreceding, 0)
-    parts = {"n": lambda v: F.count(v), "s": lambda v: F.sum(v.cast("double")), "q": lambda v: F.sum(v.cast("double") * v.cast("double")), "lo": F.min, "hi": F.max}
-    join = {"n": F.sum, "s": F.sum, "q": F.sum, "lo": F.min, "hi": F.max}
-    need = {"sum": "ns", "mean": "ns", "variance": "nsq", "standard_deviation": "nsq", "min": ["lo"], "max": ["hi"], "last": [], "first": []}
+    spread = sorted({r.column for r in reducers.values() if r.kind in ("variance", "standard_deviation")})
+    # squares are of distances from the mean of all rows, so that large values leave them their digits
+    centre = df.agg(*[F.avg(_clean(df, x).cast("double")).alias(x) for x in spread]).first().asDict() if spread and groups is not None else {}
+
+    def part(k: str, x: str) -> Column:
+        v = _clean(df, x)
+        away = v.cast("double") - F.lit(centre.get(x) or 0.0)
+        return {"n": F.count(v), "s": F.sum(v.cast("double")), "t": F.sum(away), "q": F.sum(away * away), "lo": F.min(v), "hi": F.max(v)}[k]
+
+    join = {"n": F.sum, "s": F.sum, "t": F.sum, "q": F.sum, "lo": F.min, "hi": F.max}
+    squares = "ntq" if groups is not None else ""
+    need = {"sum": "ns", "mean": "ns", "variance": squares, "standard_deviation": squares, "min": ["lo"], "max": ["hi"], "last": [], "first": []}
     wanted = sorted({(r.column, k) for r in reducers.values() for k in need[r.kind]})
-    running = {f"__{k}_{x}": parts[k](_clean(df, x)).over(over) for x, k in wanted}
+    running = {f"__{k}_{x}": part(k, x).over(over) for x, k in wanted}
     done = base.withColumns(running)
     if groups is not None:
-        sums = base.groupBy(F.col(BLOCK).alias("__b")).agg(F.lit(1).alias("__one"), *[parts[k](_clean(df, x)).alias(f"__p{k}_{x}") for x, k in wanted])
+        sums = base.groupBy(F.col(BLOCK).alias("__b")).agg(F.lit(1).alias("__one"), *[part(k, x).alias(f"__p{k}_{x}") for x, k in wanted])
         sums = sums.select("__b", *[join[k](c(f"__p{k}_{x}")).over(groups).alias(f"__p{k}_{x}") for x, k in wanted])
         done = done.join(F.broadcast(sums), F.col(BLOCK) == F.col("__b"))
-    pick = {"n": lambda a, b: a + F.coalesce(b, F.lit(0)), "s": lambda a, b: F.coalesce(a + b, a, b), "q": lambda a, b: F.coalesce(a + b, a, b), "lo": F.least, "hi": F.greatest}
+    pick = {"n": lambda a, b: a + F.coalesce(b, F.lit(0)), "s": lambda a, b: F.coalesce(a + b, a, b), "t": lambda a, b: F.coalesce(a + b, a, b), "q": lambda a, b: F.coalesce(a + b, a, b), "lo": F.least, "hi": F.greatest}
 
     def got(x: str, k: str) -> Column:
         return c(f"__{k}_{x}") if groups is None else pick[k](c(f"__{k}_{x}"), c(f"__p{k}_{x}"))
@@ -208,14 +239,16 @@ def expanding(df: DataFrame, reducers: Mapping[str, Reducer], order: Order, part
             made[out] = got(x, "lo" if r.kind == "min" else "hi")
         elif r.kind == "sum":
             made[out] = got(x, "s")
+        elif r.kind == "mean":
+            made[out] = got(x, "s") / F.nullif(got(x, "n"), F.lit(0))
         else:
-            n, s = got(x, "n"), got(x, "s")
-            m = s / F.nullif(n, F.lit(0))
-            if r.kind == "mean":
-                made[out] = m
+            if groups is None:
+                v = _clean(df, x).cast("double")
+                var = F.when(F.count(v).over(over) > 1, F.var_samp(v).over(over))
             else:
-                var = F.greatest(got(x, "q") - s * m, F.lit(0.0)) / F.nullif(n - 1, F.lit(0))
-                made[out] = var if r.kind == "variance" else F.sqrt(var)
+                n, t = got(x, "n"), got(x, "t")
+                var = F.when(n > 1, F.greatest(got(x, "q") - t * t / n, F.lit(0.0)) / (n - 1))
+            made[out] = var if r.kind == "variance" else F.sqrt(var)
     return done.select(*[c(x) for x in kept], *[v.alias(k) for k, v in made.items()])
 
 

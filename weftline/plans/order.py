@@ -7,12 +7,15 @@ row needs from other blocks is a number or a value a block, of which there are f
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block, about, and blocks at most.
-BLOCK_ROWS, MAX_BLOCKS = 2_000_000, 256
+#: Rows of a block, about, and blocks at most; beyond that (3 * 10^10 rows) blocks grow and their sorts spill.
+BLOCK_ROWS, MAX_BLOCKS = 2_000_000, 16_384
+#: Cuts up to which a number is found by a tree of comparisons rather than by two rows of them.
+TREE = 255
 BLOCK, ROW_ID = "__block", "__row_id"
 
 Order = str | Sequence[str]
@@ -34,19 +37,31 @@ def in_blocks(df: DataFrame, order: Order, block_rows: int | None = None) -> Dat
     n = min(MAX_BLOCKS, -(-count // size))
     if n < 2:
         return df.withColumn(BLOCK, F.lit(0))
-    picked = df.select(*[c(o).alias(f"k{i}") for i, o in enumerate(order)]).sample(min(1.0, 100 * n / count), seed=7).sort(*[f"k{i}" for i in range(len(order))]).collect()
+    each = 100 if n <= 256 else 25
+    picked = df.select(*[c(o).alias(f"k{i}") for i, o in enumerate(order)]).sample(min(1.0, each * n / count), seed=7).sort(*[f"k{i}" for i in range(len(order))]).collect()
     cuts = sorted({i * len(picked) // n for i in range(1, n)} - {0})
     kinds = [df.schema[o].dataType for o in order]
     key = F.struct(*[c(o).alias(f"k{i}") for i, o in enumerate(order)])
     bounds = [F.struct(*[F.lit(v).cast(k).alias(f"k{j}") for j, (v, k) in enumerate(zip(picked[i], kinds))]) for i in cuts]
+    return df.withColumn(BLOCK, cut_number(key, bounds))
+
+
+def cut_number(x: Column, cuts: Sequence[Column]) -> Column:
+    """How many of the cuts, which ascend, are at or below x."""
+    if len(cuts) > TREE:
+        step = isqrt(len(cuts))
+        rows = [F.array(*cuts[i : i + step]) for i in range(0, len(cuts), step)]
+        row = F.size(F.filter(F.array(*cuts[::step]), lambda v: v <= x))
+        inside = F.size(F.filter(F.element_at(F.array(*rows), F.greatest(row, F.lit(1))), lambda v: v <= x))
+        return F.when(row == 0, 0).otherwise((row - 1) * step + inside)
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(key < bounds[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return F.when(x < cuts[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return df.withColumn(BLOCK, tree(0, len(bounds)))
+    return tree(0, len(cuts))
 
 
 def with_row_ids(df: DataFrame, order: Order, name: str = ROW_ID, block_rows: int | None = None) -> DataFrame:
