@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from weftline.functions import parsing, scalars, stats
 from weftline.operators import categorical, columns, joins, missing, modelling, reductions, reshape, rolling, rows, sets
 from weftline.plans.order import ROW_ID, with_row_ids
+from weftline.sources import readers, writers
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -515,3 +519,130 @@ def fold_batches(s, d):
 
     ev = t(s, d, "events")
     return rounded(fold([ev.where(f"event_id % 3 = {i}") for i in range(3)], "event_type", {"total": "value"}), "total", digits=4)
+
+
+def _scratch(s: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and workers share; a single machine may do without that setting."""
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if not base and not s.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and workers share")
+    return f"{(base or tempfile.mkdtemp()).rstrip('/')}/{uuid.uuid4().hex}/{name}"
+
+
+def _written(s: SparkSession, df: DataFrame, name: str, **options) -> DataFrame:
+    """df written to a file type by the ending of name, read back, with the types that it had."""
+    path = _scratch(s, name)
+    writers.write_dataset(df, path)
+    back = readers.read_dataset(s, path, **options)
+    return back.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in df.schema if f.name in back.columns])
+
+
+@query("SELECT * FROM orders")
+def parquet_file(s, d):
+    return _written(s, t(s, d, "orders"), "orders.parquet")
+
+
+@query("SELECT * FROM lineitem")
+def orc_file(s, d):
+    return _written(s, t(s, d, "lineitem"), "lineitem.orc")
+
+
+@query("SELECT * FROM orders")
+def json_lines_file(s, d):
+    return _written(s, t(s, d, "orders"), "orders.jsonl")
+
+
+@query("SELECT * FROM lineitem")
+def csv_file(s, d):
+    return _written(s, t(s, d, "lineitem"), "lineitem.csv")
+
+
+@query("SELECT event_id, user_id, event_type, value, nullif(trim(props), '') AS props FROM events")
+def csv_quotes(s, d):
+    """Values with quotes and separators."""
+    return _written(s, t(s, d, "events").drop("ts"), "events.csv")
+
+
+@query("SELECT * FROM orders")
+def tsv_gz_file(s, d):
+    return _written(s, t(s, d, "orders"), "orders.tsv.gz")
+
+
+@query("SELECT p_partkey, p_size FROM part")
+def csv_columns(s, d):
+    """Of all columns two are read."""
+    return _written(s, t(s, d, "part"), "part.csv", columns=["p_partkey", "p_size"])
+
+
+@query("SELECT o_orderkey AS \"column-0\", CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS \"column-1\", CASE WHEN o_orderkey % 3 = 0 THEN 'late' END AS \"column-2\" FROM orders")
+def csv_ragged(s, d):
+    """Rows of one to three fields without a header, and a comment after each."""
+    k, v = F.col("o_orderkey").cast("string"), F.when(F.expr("o_orderkey % 2 = 0"), F.col("o_custkey").cast("string"))
+    line = F.when(F.expr("o_orderkey % 3 = 0"), F.concat_ws(",", k, F.coalesce(v, F.lit("")), F.lit("late"))).otherwise(F.concat_ws(",", k, v))
+    path = _scratch(s, "ragged.csv")
+    t(s, d, "orders").select(F.concat(line, F.lit("\n# note")).alias("value")).write.text(path)
+    return readers.read_csv(s, path, header=False, parser={"column-0": "bigint", "column-1": "bigint"})
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def arrow_file(s, d):
+    """One file, which the driver writes batch by batch."""
+    path = _scratch(s, "customer.arrow").removeprefix("file://").replace("file:", "", 1)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    writers.write_dataset(t(s, d, "customer"), path)
+    return readers.read_dataset(s, path)
+
+
+@query("SELECT o_orderkey, o_totalprice AS \"o.price\", o_orderstatus AS \"o.status\" FROM orders")
+def flatten_nested(s, d):
+    nested = t(s, d, "orders").select("o_orderkey", F.struct(F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status")).alias("o"))
+    return readers.flatten_nested(nested)
+
+
+_MATHS = {
+    "cube": "pow({x}, 3)", "cbrt": "cbrt({x})", "expm1": "exp({x} / 100000) - 1", "log10": "log10({x})", "log1p": "ln(1 + {x})", "floor": "floor({x})", "ceil": "ceil({x})", "signum": "sign({x})",
+    "sin": "sin({x})", "cos": "cos({x})", "atan": "atan({x})", "tanh": "tanh({x} / 100000)", "to-degrees": "degrees({x})", "to-radians": "radians({x})", "logistic": "1 / (1 + exp(-{x} / 100000))", "negate": "-{x}", "sqrt": "sqrt({x})",
+}
+
+
+@query("SELECT o_orderkey, " + ", ".join(f'round(CAST({v.format(x="o_totalprice")} AS DOUBLE), 4) AS "{k}"' for k, v in _MATHS.items()) + " FROM orders")
+def scalar_maths(s, d):
+    x = F.col("o_totalprice")
+    arg = {"expm1", "tanh", "logistic"}
+    return t(s, d, "orders").select("o_orderkey", *[F.round(scalars.call(k, x / 100000 if k in arg else x).cast("double"), 4).alias(k) for k in _MATHS])
+
+
+_PAIRS = {
+    "quot": "(l_partkey - l_partkey % l_linenumber) / l_linenumber", "rem": "l_partkey % l_linenumber", "/": "l_partkey / l_linenumber", "hypot": "sqrt(l_partkey * l_partkey + l_linenumber * l_linenumber)", "atan2": "atan2(l_partkey, l_linenumber)",
+    "bit-and": "l_partkey & l_linenumber", "bit-or": "l_partkey | l_linenumber", "bit-xor": "xor(l_partkey, l_linenumber)", "min": "least(l_partkey, l_linenumber)", "max": "greatest(l_partkey, l_linenumber)",
+}
+
+
+@query("SELECT l_orderkey, l_linenumber, " + ", ".join(f'round(CAST({v} AS DOUBLE), 6) AS "{k}"' for k, v in _PAIRS.items()) + ", l_partkey = l_linenumber AS eq, l_partkey < l_linenumber AS below, l_partkey % 2 = 0 AS even FROM lineitem")
+def scalar_pairs(s, d):
+    a, b = F.col("l_partkey"), F.col("l_linenumber").cast("bigint")
+    return t(s, d, "lineitem").select("l_orderkey", "l_linenumber", *[F.round(scalars.call(k, a, b).cast("double"), 6).alias(k) for k in _PAIRS], scalars.call("eq", a, b).alias("eq"), scalars.call("<", a, b).alias("below"), scalars.call("even?", a).alias("even"))
+
+
+@query("SELECT event_id, year(ts) AS years, month(ts) AS months, day(ts) AS days, hour(ts) AS hours, minute(ts) AS minutes, dayofweek(ts) + 1 AS day_of_week, dayofyear(ts) AS day_of_year, weekofyear(ts) AS week_of_year, CAST(CAST(ts AS DATE) + 7 AS DATE) AS next_week FROM events")
+def scalar_dates(s, d):
+    parts = {k.replace("-", "_"): scalars.call(k, F.col("ts")).cast("bigint") for k in ("years", "months", "days", "hours", "minutes", "day-of-week", "day-of-year", "week-of-year")}
+    return t(s, d, "events").select("event_id", *[v.alias(k) for k, v in parts.items()], scalars.call("plus-days", F.col("ts").cast("date"), 7).alias("next_week"))
+
+
+@query("SELECT l_returnflag, round(sum(l_quantity), 4) AS sum, round(avg(l_quantity), 6) AS mean, min(l_quantity) AS min, max(l_quantity) AS max, round(var_samp(l_quantity), 4) AS variance, round(stddev_samp(l_quantity), 6) AS standard_deviation, median(l_quantity) AS median, count(*) AS n_elems FROM lineitem GROUP BY ALL")
+def scalar_reductions(s, d):
+    digits = {"sum": 4, "mean": 6, "variance": 4, "standard-deviation": 6}
+    made = {k: scalars.REDUCTIONS[k](F.col("l_quantity")) for k in ("sum", "mean", "min", "max", "variance", "standard-deviation", "median", "n-elems")}
+    return t(s, d, "lineitem").groupBy("l_returnflag").agg(*[(F.round(v, digits[k]) if k in digits else v).alias(k.replace("-", "_")) for k, v in made.items()])
+
+
+@query("SELECT event_type, true AS card, true AS median, true AS quantiles, true AS cdf FROM events GROUP BY ALL")
+def sketch_errors(s, d):
+    """Whether each sketch is within its stated error of the exact value: 5 % of distinct values, 2 % of ranks."""
+    a, ev = reductions, t(s, d, "events")
+    got = a.group_by_column_agg("event_type", {"card": a.prob_set_cardinality("user_id"), "median": a.prob_median("value"), "qs": a.prob_quantiles("value", [0.1, 0.9]), "cdf": a.prob_cdf("value", 50.0)}, ev)
+    n, below = F.count("value"), lambda x: F.count_if(F.col("value") < x)
+    seen = ev.join(got, "event_type").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.first("card").alias("card"), F.first("cdf").alias("cdf"), *[(below(x) / n).alias(f"lo{i}") for i, x in enumerate((F.col("median"), F.col("qs")[0], F.col("qs")[1], F.lit(50.0)))], *[(F.count_if(F.col("value") <= x) / n).alias(f"hi{i}") for i, x in enumerate((F.col("median"), F.col("qs")[0], F.col("qs")[1], F.lit(50.0)))])
+    near = lambda i, q: (F.col(f"lo{i}") <= q + 0.02) & (F.col(f"hi{i}") >= q - 0.02)
+    return seen.select("event_type", (F.abs(F.col("card") - F.col("users")) <= 0.05 * F.col("users") + 1).alias("card"), near(0, 0.5).alias("median"), (near(1, 0.1) & near(2, 0.9)).alias("quantiles"), near(3, F.col("cdf")).alias("cdf"))
