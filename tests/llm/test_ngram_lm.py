@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +78,49 @@ def test_the_query_looks_two_words_back(spark):
     model = L.train(spark.createDataFrame([(x,) for x in ["a x b", "c x d"] * 5], "text string"))
     got = {r.t: r.score for r in L.score_texts(spark.createDataFrame([("a x b",), ("a x d",)], "text string"), model, {"t": F.col("text")}).collect()}
     assert model.order >= 3 and got["a x b"] > got["a x d"] + 0.1
+
+
+def test_shards_follow_the_text(spark, monkeypatch):
+    """A table in one partition has as many shards as its text needs."""
+    docs = spark.range(4000).select(F.concat_ws(" ", F.lit("one text of"), "id").alias("text")).coalesce(1)
+    monkeypatch.setattr(L, "SHARD", 1000)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    model = L.train(docs)
+    assert size / 1000 <= 1 << model.bits <= 2 * size / 1000 + 2
+    assert model.n_tokens == 5 * 4000
+
+
+def test_frequent_contexts_are_held_once(tmp_path):
+    """However often a context's n-grams are shipped, a task holds its distinct ones and the rows that wait."""
+    words = np.sort(L.mix(np.arange(1, 101, dtype=np.uint64)))
+    L.put_counts(f"{tmp_path}/0/{0:07d}", words, np.ones(100, np.int64))
+    ids = np.arange(100, dtype=np.uint64)
+    blob = L.pack([np.zeros(100, np.uint64), np.zeros(100, np.uint64), ids], [np.zeros(100, np.int64), np.ones(100, np.int64)])
+    taken = [0]
+
+    def batches():
+        for _ in range(200):
+            taken[0] += 1
+            yield L._row([0], [blob], [None])
+
+    sizes, whole = [], L.merged
+
+    def seen(keys, cols, count):
+        sizes.append(len(keys))
+        return whole(keys, cols, count)
+
+    L.merged = seen
+    try:
+        out = pa.Table.from_batches(L.sort_shards(3, 2, str(tmp_path), wait=500)(batches()))
+    finally:
+        L.merged = whole
+    assert max(sizes) <= 100 + 500 and taken[0] == 200
+    stats = out.column("stats").to_pylist()[0]
+    assert stats[0] == 100 and stats[5] == 200 * 100
+    own, cols, (lead, below) = L.unpack(next(x for x in out.column("blob").to_pylist() if x is not None))
+    assert len(below) == 100 and (below == 1).all() and (lead == 0).all() and len(own) == 100
+
+
+def test_unmix():
+    x = np.random.default_rng(3).integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(3)
+    assert (L.unmix(L.mix(x.copy())) == x).all()

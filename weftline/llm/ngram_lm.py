@@ -22,6 +22,8 @@ from weftline.llm.hash_store import mapped, put
 
 #: Words of an n-gram.
 ORDER = 3
+#: Bytes of text for which there is a shard, at least, and rows of n-grams that wait until they are merged with what a shard holds.
+SHARD, WAIT = 13 << 20, 1 << 21
 BOS, END, EMPTY = np.uint64(0x5C3D91F0A7B24E61), np.uint64(0xE19A40C2D8673BF5), np.uint64(0x1F83D9ABFB41BD6B)
 #: What stands for the start's hash among the ids of words.
 START = np.uint64(1 << 63)
@@ -35,6 +37,15 @@ def extend(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(context * _STEP + word)
 
 
+def unmix(h: np.ndarray) -> np.ndarray:
+    """The words that mix() turns into these."""
+    h = h ^ (h >> np.uint64(31)) ^ (h >> np.uint64(62))
+    h *= np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
+    h ^= (h >> np.uint64(27)) ^ (h >> np.uint64(54))
+    h *= np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    return h ^ (h >> np.uint64(30)) ^ (h >> np.uint64(60))
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the texts' words, each text's with an end after them, and how many each text has."""
     words, n = space_words(data, offsets)
@@ -164,12 +175,31 @@ def chain(words: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def _held(batches) -> dict[int, list[bytes]]:
-    held = defaultdict(list)
+def _blobs(batches):
+    """Shard and blob of each row, one by one."""
     for b in batches:
-        for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            held[s].append(x)
-    return held
+        for i in range(b.num_rows):
+            yield b.column(0)[i].as_py(), b.column(1)[i].as_py()
+
+
+def folded(batches, read, fold, wait: int):
+    """Shard and what fold makes of its parts, shard by shard. read gives a blob's part and rows; parts are folded whenever wait rows are there, so that what stands often counts once."""
+    held, parts, rows = {}, defaultdict(list), 0
+
+    def settle():
+        for s in sorted(parts):
+            held[s] = fold(held.pop(s, None), parts.pop(s))
+
+    for s, x in _blobs(batches):
+        part, n = read(x)
+        parts[s].append(part)
+        rows += n
+        if rows >= wait:
+            settle()
+            rows = 0
+    settle()
+    for s in sorted(held):
+        yield s, held.pop(s)
 
 
 def put_counts(at: str, keys: np.ndarray, count: np.ndarray) -> list[int]:
@@ -224,47 +254,67 @@ def read_sums(at: str, place: np.ndarray) -> np.ndarray:
     return out
 
 
-def sort_words(bits: int, folder: str):
+def sort_words(bits: int, folder: str, wait: int = WAIT):
     """The task that merges the words' own counts and writes their arrays."""
 
+    def read(x: bytes):
+        n = len(x) // 12
+        return (np.frombuffer(x, "<u8", n), np.frombuffer(x, "<u4", n, 8 * n).astype(np.int64)), n
+
+    def fold(own, parts):
+        words, count = (np.concatenate(c) for c in zip(*([own] if own else []), *parts))
+        words, _, count = merged(words, [], count)
+        return words, count
+
     def run(batches):
-        held = _held(batches)
-        for s in sorted(held):
-            parts = [(x, len(x) // 12) for x in held.pop(s)]
-            words, count = (np.concatenate(c) for c in zip(*((np.frombuffer(x, "<u8", n), np.frombuffer(x, "<u4", n, 8 * n)) for x, n in parts)))
-            words, _, count = merged(words, [], count.astype(np.int64))
+        for s, (words, count) in folded(batches, read, fold, wait):
             yield _row([s], [None], [put_counts(f"{folder}/0/{s:07d}", words, count)])
 
     return run
 
 
-def sort_shards(level: int, bits: int, folder: str):
-    """The task that merges a level's packed counts, writes the arrays and ships the level below."""
+def sort_shards(level: int, bits: int, folder: str, wait: int = WAIT):
+    """The task that merges a level's packed counts, writes the arrays and ships the level below.
+
+    It holds the distinct n-grams of a shard and about wait rows of counts, however often a frequent context was shipped.
+    """
+
+    def read(x: bytes):
+        own, cols, (lead, count) = unpack(x)
+        return (own, cols, lead.astype(np.uint8) if level < 256 else lead, count), len(count)
+
+    def fold(own, parts):
+        ids = np.unique(np.concatenate([p[0] for p in parts]))
+        hashes, rows = id_words(folder, ids), [own] if own else []
+        while parts:
+            words, cols, lead, count = parts.pop()
+            h = hashes[np.searchsorted(ids, words)]
+            w = [h[c] for c in cols]
+            ctx = chain(w[:-1])
+            rows.append([extend(ctx, w[-1]) if level > 1 else w[-1], *([ctx] if level > 1 else []), *([chain(w[1:-1])] if level > 2 else []), *(words[c] for c in cols[1:]), lead, count])
+        cols = []
+        for i in range(len(rows[0])):
+            cols.append(np.concatenate([r[i] for r in rows]))
+            for r in rows:
+                r[i] = None
+        keys, cols, count = merged(cols[0], cols[1:-1], cols[-1])
+        return [keys, *cols, count]
 
     def run(batches):
-        held = _held(batches)
-        for s in sorted(held):
-            parts = [unpack(x) for x in held.pop(s)]
-            ids = np.unique(np.concatenate([p[0] for p in parts]))
-            hashes, rows = id_words(folder, ids), []
-            for own, cols, (lead, count) in parts:
-                h = hashes[np.searchsorted(ids, own)]
-                w = [h[c] for c in cols]
-                ctx = chain(w[:-1])
-                low = chain(w[1:-1]) if level > 2 else w[-1]  # what deals out the level below
-                rows.append([extend(ctx, w[-1]) if level > 1 else w[-1], ctx if level > 1 else w[-1], low, extend(low, w[-1]) if level > 2 else w[-1], *(own[c] for c in cols[1:]), lead, count])
-            del parts
-            keys, *cols, count = (np.concatenate(c) for c in zip(*rows))
-            keys, (ctx, low, low_key, *own, lead), count = merged(keys, cols, count)
+        for s, (keys, *cols, count) in folded(batches, read, fold, wait):
             at = f"{folder}/{level}/{s:07d}"
             stats = put_counts(at, keys, count)
             if level > 1:
-                put_sums(at, ctx, count)
+                put_sums(at, cols[0], count)
             yield _row([s], [None], [stats])
             if level > 1:
+                ctx, *own, lead = cols
+                last = unmix(keys) - ctx * _STEP  # the n-gram's last word
+                low = own.pop(0) if level > 2 else last  # what deals out the level below
+                del ctx, cols, keys
                 # an n-gram counts once for the one below it, or as often as it stands if that begins a text
                 below = np.where(lead >= 2, count, 1)
-                _, (low, *own, lead), below = merged(low_key, [low, *own, np.maximum(lead, 1) - 1], below)
+                _, (low, *own, lead), below = merged(extend(low, last) if level > 2 else last, [low, *own, np.maximum(lead, 1) - 1], below)
                 yield shipped(bits, low, own, [lead, below])
 
     return run
@@ -357,14 +407,21 @@ def _stats(rows: DataFrame) -> list[int]:
     return [x or 0 for x in got]
 
 
+def shard_bits(given: DataFrame) -> int:
+    """Bits that number the shards: a shard for each SHARD bytes of text, whatever the table's partitions are."""
+    size = given.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    return max(2, (size // SHARD).bit_length())
+
+
 def train(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> Model:
     """A model of all texts given, null and empty ones too, each of which is an end. Without texts, all tokens are unknown."""
     if order < 1:
         raise ValueError("order is one at least")
     given = docs.select(raw(text_col).alias("__text"))
-    bits = max(2, given.rdd.getNumPartitions().bit_length())
+    bits = shard_bits(given)
     folder = new_folder(docs.sparkSession, "lm")
-    dealt = lambda rows: rows.where("blob is not null").repartition(1 << bits, "shard")
+    # each shard has a task of its own
+    dealt = lambda rows: rows.where("blob is not null").repartitionById(1 << bits, F.col("shard").cast("int"))
 
     def words(batches):
         for b in batches:
