@@ -154,6 +154,15 @@ def test_join_names_and_nulls(spark):
     assert sorted(col(r, "x")) == [1.0, 5.0, 9.0]
 
 
+def test_ties_stand_alike_both_ways(spark):
+    df = frame(spark, "t int, i int, v double", (1, 0, None), (1, 1, 5.0), (2, 2, None), (2, 3, 7.0), (3, 4, None)).coalesce(1)
+    for by in ((), "g"):
+        given = df.withColumn("g", F.lit(1))
+        down, up = (col(missing.replace_missing(given, "v", k, order="t", partition_by=by), "v", "i") for k in ("down", "up"))
+        # of a null and a value at one place one is before the other, going down and up
+        assert down == [None, 5.0, 5.0, 7.0, 7.0] and up == [5.0, 5.0, 7.0, 7.0, None]
+
+
 def test_missing_strategies(spark):
     df = frame(spark, "i int, a double", *enumerate([None, 1.0, None, None, None, 5.0, None]))
     want = {"down": [None, 1, 1, 1, 1, 5, 5], "up": [1, 1, 5, 5, 5, 5, None], "downup": [1, 1, 1, 1, 1, 5, 5], "updown": [1, 1, 5, 5, 5, 5, 5], "mid": [1, 1, 1, 1, 5, 5, 5], "lerp": [1, 1, 2, 3, 4, 5, 5], "midpoint": [1, 1, 3, 3, 3, 5, 5]}

@@ -81,17 +81,23 @@ def carry(df: DataFrame, order: Order, fills: dict[str, Column], forward: bool =
     """df with columns that hold the last value that isn't null at or before each row (after it, if not forward; without the row itself, if strict).
 
     With partition_by the window runs inside its groups. Without, it runs inside blocks, and a block's first rows take
-    what the blocks before them end with.
+    what the blocks before them end with. Going back, rows go by their number in the order, so that ties stand as they do going forward.
     """
     order = names(order)
-    keys = [c(o).asc_nulls_first() if forward else c(o).desc_nulls_last() for o in order]
+    keys = [c(o).asc_nulls_first() for o in order]
     span = (Window.unboundedPreceding, -1 if strict else 0)
     given = df.withColumns({f"__v_{k}": v for k, v in fills.items()})
+
+    def window(rows: DataFrame, *parts: Column) -> tuple[DataFrame, Window]:
+        over = Window.partitionBy(*parts)
+        if not forward:
+            rows = rows.withColumn("__row_at", F.row_number().over(over.orderBy(*keys)))
+        return rows, over.orderBy(*(keys if forward else [F.col("__row_at").desc()])).rowsBetween(*span)
+
     if names(partition_by):
-        w = Window.partitionBy(*[c(p) for p in names(partition_by)]).orderBy(*keys).rowsBetween(*span)
-        return given.withColumns({k: F.last(f"__v_{k}", True).over(w) for k in fills}).drop(*[f"__v_{k}" for k in fills])
-    cut = in_blocks(given, order)
-    w = Window.partitionBy(BLOCK).orderBy(*keys).rowsBetween(*span)
+        given, w = window(given, *[c(p) for p in names(partition_by)])
+        return given.withColumns({k: F.last(f"__v_{k}", True).over(w) for k in fills}).drop("__row_at", *[f"__v_{k}" for k in fills])
+    cut, w = window(in_blocks(given, order), F.col(BLOCK))
     at = F.struct(*[c(o).alias(f"k{i}") for i, o in enumerate(order)])
     pick = F.max_by if forward else F.min_by
     ends = cut.groupBy(BLOCK).agg(*[pick(F.when(F.col(f"__v_{k}").isNotNull(), F.struct(F.col(f"__v_{k}").alias("v"))), F.when(F.col(f"__v_{k}").isNotNull(), at)).alias(f"__e_{k}") for k in fills])
@@ -99,4 +105,4 @@ def carry(df: DataFrame, order: Order, fills: dict[str, Column], forward: bool =
     ends = ends.select(F.col(BLOCK).alias("__b"), *[F.last(f"__e_{k}", True).over(between).alias(f"__e_{k}") for k in fills])
     out = cut.withColumns({f"__i_{k}": F.last(f"__v_{k}", True).over(w) for k in fills}).join(F.broadcast(ends), F.col(BLOCK) == F.col("__b"), "left")
     out = out.withColumns({k: F.coalesce(f"__i_{k}", F.col(f"__e_{k}.v")) for k in fills})
-    return out.drop(BLOCK, "__b", *[f"{p}{k}" for p in ("__v_", "__i_", "__e_") for k in fills])
+    return out.drop(BLOCK, "__b", "__row_at", *[f"{p}{k}" for p in ("__v_", "__i_", "__e_") for k in fills])

@@ -379,17 +379,17 @@ def _holes(s, d):
 
 @query(f"SELECT event_id, last_value(value IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM ({_HOLES})")
 def replace_missing_down(s, d):
-    return missing.replace_missing(_holes(s, d), "value", "down", order="ts").select("event_id", "value")
+    return missing.replace_missing(_holes(s, d), "value", "down", order=["ts", "event_id"]).select("event_id", "value")
 
 
 @query(f"SELECT event_id, first_value(value IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS value FROM ({_HOLES})")
 def replace_missing_up(s, d):
-    return missing.replace_missing(_holes(s, d), "value", "up", order="ts").select("event_id", "value")
+    return missing.replace_missing(_holes(s, d), "value", "up", order=["ts", "event_id"]).select("event_id", "value")
 
 
 @query(f"SELECT event_id, coalesce(last_value(value IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(value IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS value FROM ({_HOLES})")
 def replace_missing_downup(s, d):
-    return missing.replace_missing(_holes(s, d), "value", "downup", order="ts").select("event_id", "value")
+    return missing.replace_missing(_holes(s, d), "value", "downup", order=["ts", "event_id"]).select("event_id", "value")
 
 
 _AROUND = f"""WITH b AS (SELECT *, row_number() OVER (ORDER BY ts) AS i FROM ({_HOLES})),
@@ -399,12 +399,12 @@ _AROUND = f"""WITH b AS (SELECT *, row_number() OVER (ORDER BY ts) AS i FROM ({_
 
 @query(_AROUND + "SELECT event_id, CASE WHEN value IS NOT NULL THEN value WHEN pv IS NULL OR nv IS NULL THEN coalesce(pv, nv) WHEN i - pi <= ni - i THEN pv ELSE nv END AS value FROM w")
 def replace_missing_nearest(s, d):
-    return missing.replace_missing(_holes(s, d), "value", "nearest", order="ts").select("event_id", "value")
+    return missing.replace_missing(_holes(s, d), "value", "nearest", order=["ts", "event_id"]).select("event_id", "value")
 
 
 @query(_AROUND + "SELECT event_id, round(CASE WHEN value IS NOT NULL THEN value WHEN pv IS NULL OR nv IS NULL THEN coalesce(pv, nv) ELSE pv + (nv - pv) * (i - pi) / (ni - pi) END, 6) AS value FROM w")
 def replace_missing_lerp(s, d):
-    return rounded(missing.replace_missing(_holes(s, d), "value", "lerp", order="ts").select("event_id", "value"), "value")
+    return rounded(missing.replace_missing(_holes(s, d), "value", "lerp", order=["ts", "event_id"]).select("event_id", "value"), "value")
 
 
 @query(f"SELECT event_id, round(coalesce(value, (SELECT avg(value) FROM ({_HOLES}))), 6) AS value FROM ({_HOLES})")
