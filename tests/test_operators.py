@@ -426,3 +426,20 @@ def test_kendall_of_many_values(spark):
     want = (sx * sy).sum() / np.sqrt((sx != 0).sum() * (sy != 0).sum())
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
     assert stats.kendall(df, "x", "y") == pytest.approx(want) and stats.kendall(df, "x", "y", cells=7) == pytest.approx(want)
+
+
+def test_csv_headers_go_without_a_shuffle(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "parts.csv"
+    folder.mkdir()
+    for i in range(3):
+        (folder / f"part-{i}.csv").write_text("a,b\n\n" + "".join(f"{i * 300 + j},{'x' if j < 299 else 'a,b'[:1]}\n" for j in range(300)) + "a,b\n" * (i == 2))
+    got = readers.read_csv(spark, str(folder))
+    assert got.count() == 901 and got.where("a = 'a' and b = 'b'").count() == 1 and dict(got.dtypes) == {"a": "string", "b": "string"}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_types_by_rows_after_the_first(spark):
+    late = lambda first, last: parsing.infer(frame(spark, "x string", *[(first,)] * 300, (last,)))["x"]
+    want = {("1", "40000"): "int", ("1", "3000000000"): "bigint", ("1", "99999999999999999999"): "double", ("1", "-32768"): "smallint", ("1", "1.5"): "double", ("1", "x"): "string", ("2020-01-02", "2020-01-02T03:04:05Z"): "string", ("2020-01-02T03:04:05Z", "NA"): "timestamp", (None, "7"): "smallint", (None, None): "boolean"}
+    assert {k: late(*k) for k in want} == want

@@ -17,8 +17,12 @@ TRUE = ("t", "y", "yes", "true", "positive")
 FALSE = ("f", "n", "no", "false", "negative")
 #: Characters from which on text is a text column rather than strings. Fixed value.
 TEXT_LENGTH = 1024
+#: Rows that are held against all types first.
+FIRST_ROWS = 200
 #: Candidate types in the order of promotion.
 LADDER = ("boolean", "smallint", "int", "bigint", "double", "uuid", "interval day to second", "date", "timestamp", "string")
+#: Bits of the integer types.
+INTEGERS = {"smallint": 16, "int": 32, "bigint": 64}
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 INTEGER, REAL = r"^[+-]?\d+$", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 DURATION = r"^-?(P(?=.)(\d+D)?(T(\d+H)?(\d+M)?(\d+(\.\d+)?S)?)?|\d+:\d{1,2}:\d{1,2}(:\d{1,3})?)$"
@@ -88,22 +92,38 @@ def _fits(kind: str, x: Column) -> Column:
     if kind == "interval day to second":
         return x.rlike(DURATION)
     if kind == "date":
-        return x.rlike(r"\d") & ~x.rlike(REAL) & parse_local_date(x).isNotNull()
+        return x.rlike(r"\d") & ~x.contains(":") & ~x.rlike(REAL) & parse_local_date(x).isNotNull()
     if kind == "timestamp":
         return x.rlike(r"\d{2}:\d{2}") & F.try_to_timestamp(x).isNotNull()
     return F.lit(True)
 
 
 def infer(df: DataFrame, columns: list[str] | None = None, na: bool = True) -> dict[str, str]:
-    """The narrowest type on the ladder that all values of each text column fit, in one pass. A column of nulls only is boolean; one with a long text is 'text'."""
+    """The narrowest type on the ladder that all values of each text column fit. A column of nulls only is boolean; one with a long text is 'text'.
+
+    Types that the first rows rule out are not tried on the others; all rows are held against those left, in one pass.
+    """
     cols = columns or df.columns
-    kinds = LADDER[:-1]
-    aggs = [F.count_if(present(c(x), na).isNotNull() & ~_fits(k, present(c(x), na))).alias(f"{i}_{k}") for i, x in enumerate(cols) for k in kinds]
-    aggs += [F.max(F.length(c(x))).alias(f"{i}_length") for i, x in enumerate(cols)]
-    got = df.agg(*aggs).first()
+    first = [(i, v) for r in df.select(*[c(x) for x in cols]).take(FIRST_ROWS) for i, v in enumerate(r)]
+    rows = df.sparkSession.createDataFrame(first, "i int, v string").select("i", present(F.col("v"), na).alias("v"))
+    held = {r["i"]: r for r in rows.groupBy("i").agg(*[F.count_if(F.col("v").isNotNull() & ~_fits(k, F.col("v"))).alias(k) for k in LADDER[:-1]]).collect()}
+    kinds = {i: [k for k in LADDER[:-1] if i not in held or held[i][k] == 0] for i in range(len(cols))}
+    whole = {i: list(INTEGERS) for i in kinds if set(INTEGERS) & set(kinds[i])}
+    given = df.select(*[present(c(x), na).alias(f"v{i}") for i, x in enumerate(cols)], *[F.length(c(x)).alias(f"l{i}") for i, x in enumerate(cols)])
+    # an integer is read once, and its size tells the types that it fits; it needs no other try for a double
+    given = given.withColumns({f"n{i}": F.when(F.col(f"v{i}").rlike(INTEGER), F.col(f"v{i}").try_cast("bigint")) for i in whole})
+
+    def misses(i: int, kind: str) -> Column:
+        v, n = F.col(f"v{i}"), F.col(f"n{i}")
+        if kind in INTEGERS:
+            most = 1 << INTEGERS[kind] - 1
+            return v.isNotNull() & (n.isNull() | ~n.between(-most, most - 1))
+        return v.isNotNull() & (n.isNull() if i in whole and kind == "double" else F.lit(True)) & ~_fits(kind, v)
+
+    got = given.agg(*[F.count_if(misses(i, k)).alias(f"{i}_{k}") for i in kinds for k in kinds[i]], *[F.max(f"l{i}").alias(f"{i}_length") for i in kinds]).first()
     out = {}
     for i, x in enumerate(cols):
-        kind = next((k for k in kinds if got[f"{i}_{k}"] == 0), "string")
+        kind = next((k for k in kinds[i] if got[f"{i}_{k}"] == 0), "string")
         out[x] = "text" if kind == "string" and (got[f"{i}_length"] or 0) >= TEXT_LENGTH else kind
     return out
 

@@ -56,7 +56,7 @@ def _data_lines(spark: SparkSession, path: str, skip_rows: int, header: bool, co
 
 def _count(value: Column, sep: str) -> Column:
     """Fields of a line: separators outside quotes, and one more."""
-    bare = F.regexp_replace(value, '"(?:[^"]|"")*"', "")
+    bare = F.when(F.contains(value, F.lit('"')), F.regexp_replace(value, '"(?:[^"]|"")*"', "")).otherwise(value)
     return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
 
 
@@ -86,12 +86,17 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: boo
     if multi_line:
         width = max([len(first), *(len(r) for r in csv.reader(lines[: 1 if header else None], delimiter=sep))])
     else:
-        text = _data_lines(spark, path, skip_rows, header, comment)
-        width = max(len(first), _fields(text, sep))
+        # where no line, headers included, has more fields than the first, the reader itself leaves out each file's header
+        plain = header and not skip_rows and bad_rows == "PERMISSIVE" and len(comment or "") < 2 and _fields(_data_lines(spark, path, 0, False, comment), sep) <= len(first)
+        if plain:
+            width = len(first)
+        else:
+            text = _data_lines(spark, path, skip_rows, header, comment)
+            width = max(len(first), _fields(text, sep))
     labels = unique_names([*first, *[None] * (width - len(first))]) if header else [f"column-{i}" for i in range(width)]
     schema = T.StructType([T.StructField(x, T.StringType()) for x in labels])
-    if multi_line:
-        reader = spark.read.schema(schema).options(**options | {"header": str(header).lower(), "multiLine": "true"})
+    if multi_line or plain:
+        reader = spark.read.schema(schema).options(**options | {"header": str(header).lower(), "multiLine": str(multi_line).lower()})
         rows = (reader.option("comment", comment) if comment else reader).csv(path)
     else:
         rows = text.select(F.from_csv("value", ", ".join(f"`{x.replace('`', '``')}` string" for x in labels), {k: v for k, v in options.items() if k not in ("header", "mode")} | {"mode": "PERMISSIVE" if bad_rows == "DROPMALFORMED" else bad_rows}).alias("r"), "value")
