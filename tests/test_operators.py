@@ -96,6 +96,21 @@ def test_rolling_variable_blocks(spark, monkeypatch, position):
             assert tuple(r[k] for k in made) == pytest.approx(x, abs=1e-9)
 
 
+@pytest.mark.parametrize("position", ["right", "left", "center"])
+def test_rolling_variable_by_tables(spark, monkeypatch, position):
+    rows = [(i, (i * 7) % 60 if i % 11 else None, [float(i * i % 17), None, math.nan][0 if i % 5 else 1 + i % 2]) for i in range(200)]
+    df = frame(spark, "i int, t int, v double", *rows)
+    made = {k: getattr(rolling, k)("v") for k in ("sum", "mean", "min", "max")}
+    monkeypatch.setattr(rolling, "BLOCK_ROWS", 60)
+    for by in ("t", ["t", "i"]):
+        tables = rolling.rolling(df, {"column": "t", "size": 6}, made, by, position)
+        frames = rolling.rolling(df, {"column": "t", "size": 6}, made | {"first": rolling.first("v")}, by, position).drop("first")
+        plan = tables._jdf.queryExecution().toString()
+        assert "RangeFrame" not in plan and tables.columns == frames.columns and tables.dtypes == frames.dtypes
+        for x, y in zip(tables.orderBy("i").collect(), frames.orderBy("i").collect(), strict=True):
+            assert tuple(x[k] for k in ("i", "t", *made)) == pytest.approx(tuple(y[k] for k in ("i", "t", *made)), abs=1e-9)
+
+
 def test_variances_of_large_values(spark):
     df = spark.range(30).select("id", (F.col("id") % 3 + 1e9).alias("v"), F.lit(1).alias("g"))
     sd = {"s": rolling.variance("v")}

@@ -9,9 +9,13 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import PySparkTypeError
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from weftline.plans.order import BLOCK, ROW_ID, Order, c, cut_number, in_blocks, names, with_row_ids
 
@@ -146,6 +150,8 @@ def _variable(df: DataFrame, column: str, size: float, reducers: Mapping[str, Re
         alone = F.array((-1 - F.pmod(F.xxhash64("__at"), F.lit(blocks))).cast("int"))
         base = base.withColumn("__b", F.explode(F.coalesce(F.sequence(cell(F.col("__k") - hi), cell(F.col("__k") - lo)), alone)))
         parts, own = [F.col("__b")], (F.col("__b") == cell(F.col("__k"))) | F.col("__k").isNull()
+        if _by_arrow(df) and all(_plain(df, r) for r in reducers.values()):
+            return _by_tables(base, own, df, reducers, kept, lo, hi, position)
     # of rows at its own place a window holds those from its own row on, in its direction
     by_key, ties = Window.partitionBy(*parts).orderBy("__k"), Window.partitionBy(*parts, "__k").orderBy("__at")
     near, far = {
@@ -159,6 +165,92 @@ def _variable(df: DataFrame, column: str, size: float, reducers: Mapping[str, Re
     return (done if own is None else done.where(own)).select(*[c(x) for x in kept], *[c(x) for x in made])
 
 
+def _by_arrow(df: DataFrame) -> bool:
+    """Whether all columns can go through Arrow."""
+    try:
+        to_arrow_schema(df.schema)
+    except PySparkTypeError:
+        return False
+    return True
+
+
+def _plain(df: DataFrame, r: Reducer) -> bool:
+    """Whether tables of doubles give the reducer as native frames do: sums and means of numbers, extremes of doubles."""
+    kind = df.schema[r.column].dataType
+    return isinstance(kind, T.NumericType) if r.kind in ("sum", "mean") else r.kind in ("min", "max") and isinstance(kind, T.DoubleType)
+
+
+def _by_tables(base: DataFrame, own: Column, df: DataFrame, reducers: Mapping[str, Reducer], kept: list[str], lo: int, hi: int, position: str) -> DataFrame:
+    """The reducers over blocks of base, whatever number of rows a window holds: a native frame goes through all rows of a window for each row.
+
+    A block's rows in order have tables by powers of two: each cuts the rows in halves that meet in the middle, and holds what
+    stands from each row to its middle. A window is two entries of the table in which its ends first part, so that no sum is a
+    difference of others, and a row costs the logarithm of its window's rows.
+    """
+    cols = sorted({r.column for r in reducers.values()})
+    given = base.withColumns({"__own": F.coalesce(own, F.lit(False))} | {f"__v{i}": _clean(df, x).cast("double") for i, x in enumerate(cols)})
+    row = F.struct(*[c(x) for x in kept])
+    slim = given.select("__b", "__k", F.dense_rank().over(Window.partitionBy("__b", "__k").orderBy("__at")).alias("__tie"), "__own", F.when(F.col("__own"), row).alias("__row"), *[f"__v{i}" for i in range(len(cols))])
+    made = {out: (r.kind, cols.index(r.column)) for out, r in reducers.items()}
+    fields = [T.StructField("__row", T.StructType([df.schema[x] for x in kept])), *[T.StructField(x, T.DoubleType()) for x in made]]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        null = np.array(table["__k"].is_null().to_numpy())
+        key = table["__k"].fill_null(0).to_numpy()
+        tie = table["__tie"].to_numpy()
+        order = np.lexsort((tie, key, null))
+        n = len(order) - int(null.sum())
+        key, tie, mine = key[order[:n]], tie[order[:n]], table["__own"].to_numpy()[order]
+        at = np.flatnonzero(mine[:n])
+        start = np.searchsorted(key, key[at] + lo)
+        stop = np.searchsorted(key, key[at] + hi, side="right")
+        if position != "center":
+            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tie[1:] != tie[:-1])]) if n else np.zeros(0, np.int64)
+            peers = np.searchsorted(new, at, side="right")
+            start, stop = (new[peers - 1], stop) if position == "right" else (start, np.r_[new, n][peers])
+        values = [table[f"__v{i}"].to_numpy()[order[:n]].astype(float) for i in range(len(cols))]
+        out = {}
+        for name, (kind, i) in made.items():
+            v, there = values[i], ~np.isnan(values[i])
+            counts = np.r_[0, np.cumsum(there)]
+            count = counts[stop] - counts[start]
+            rest, join = {"min": (np.inf, np.minimum), "max": (-np.inf, np.maximum)}.get(kind, (0.0, np.add))
+            got = _over(np.where(there, v, rest), start, stop, join, rest)
+            if kind == "mean":
+                got = got / np.maximum(count, 1)
+            full = np.zeros(int(mine.sum()))
+            full[: len(at)] = got
+            mask = np.ones(len(full), bool)
+            mask[: len(at)] = count == 0
+            out[name] = pa.array(full, pa.float64(), mask=mask)
+        rows = table["__row"].take(pa.array(order[np.flatnonzero(mine)]))
+        return pa.table({"__row": rows, **out})
+
+    done = slim.groupBy("__b").applyInArrow(run, T.StructType(fields))
+    return done.select(*[c("__row")[x].alias(x) for x in kept], *[c(x) for x in made])
+
+
+def _over(v: np.ndarray, start: np.ndarray, stop: np.ndarray, join: np.ufunc, rest: float) -> np.ndarray:
+    """join over v[start:stop] for each start and stop; rest is what changes nothing."""
+    out = np.full(len(start), rest)
+    last = stop - 1
+    single = last == start
+    out[single] = v[start[single]]
+    level = np.where(last > start, np.frexp((start ^ last).astype(float))[1], 0)
+    for k in np.unique(level[level > 0]):
+        half = 1 << (int(k) - 1)
+        size = -(-len(v) // (2 * half))
+        both = np.concatenate([v, np.full(size * 2 * half - len(v), rest)]).reshape(size, 2, half)
+        left = join.accumulate(both[:, 0, ::-1], axis=1)[:, ::-1].ravel()
+        right = join.accumulate(both[:, 1], axis=1).ravel()
+        w = level == k
+        s, e = start[w], last[w]
+        cell = s // (2 * half) * half
+        out[w] = join(left[cell + s % (2 * half)], right[cell + e % (2 * half) - half])
+    return out
+
+
 def _of(r: Reducer, v: Column, near, far) -> Column:
     """A reducer over the rows of a frame, or of two that have no row in common."""
     d = v.cast("double")
